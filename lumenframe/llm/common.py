@@ -52,13 +52,19 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def safe_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, or a variation of it that is no column of ``df``."""
-    taken = {c.lower() for c in df.columns}
-    name = wanted
-    while name.lower() in taken:
-        name = "_" + name
-    return name
+def packed(df: DataFrame, **extra: Column) -> DataFrame:
+    """``df`` as one struct column ``row`` beside ``extra``, so that no name can clash."""
+    row = F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns])
+    return df.select(row.alias("row"), *[c.alias(n) for n, c in extra.items()])
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> list[Column]:
+    """Select list that gives ``columns`` of ``row`` back, some of them changed."""
+    return [changed.get(c, F.col("row").getField(c)).alias(c) for c in columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def unit_hash(seed: int, *cols: Column) -> Column:

@@ -2,9 +2,9 @@
 
 Words are cut into equal blocks. Sources get whole blocks by the highest quotients
 ``target / (2k + 1)``; a source's blocks go to its shards (seeded, bounded groups of
-documents) by the same rule; a shard then repeats or picks blocks of its documents in
-a seeded order. Block ``i`` of a shard of ``n`` blocks is picked when its place in the
-seeded permutation ``(i * p + c) mod n`` is below the quota, so no block is listed twice.
+documents) by the same rule. A shard lays its documents out in a seeded order, repeats
+all of them as often as the quota holds all blocks, and picks the rest as a run of blocks
+from a seeded place on, so that few documents are cut and blocks need no listing.
 
 A null text has size 0 and null sources are a source of their own, last in the order.
 Documents of size 0 and sources without words take 0. Repeated rows are separate
@@ -20,10 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, safe_name
+from .common import materialise, packed, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
-_PRIME = 2147483647
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -114,7 +113,7 @@ def apportion(votes: list[float], seats: int) -> list[int]:
     return out
 
 
-def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", keep: tuple[str, ...] = (), weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 8, shard_words: int = 1 << 18, max_shards: int = 4096, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", keep: tuple[str, ...] = (), weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 2, shard_words: int = 1 << 18, max_shards: int = 4096, seed: int = 17) -> DataFrame:
     """One row per document: doc_id, the ``keep`` columns, size, source_size, target,
     taken, and how: ``copies`` (whole repeats) and ``picks`` (array of struct(start,
     stop): the word ranges taken beside them).
@@ -127,7 +126,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     rows = materialise(rows, "sizes")
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     blocks = goal.agg(F.sum("target")).first()[0] or 0.0
-    seats = apportion_table(materialise(goal, "targets"), "source", "target", round(blocks / block_words))
+    seats = apportion_table(materialise(goal, "targets"), "source", "target", math.floor(blocks / block_words + 0.5))
     n_shards = F.least(F.lit(max_shards), F.ceil(F.col("source_size") / shard_words)).cast("long")
     seats = materialise(seats.withColumn("n_shards", F.greatest(n_shards, F.lit(1))), "seats")
 
@@ -149,19 +148,20 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     line = Window.partitionBy("source", "shard").orderBy(order, "doc_id", "size")
     full = full.withColumn("stop", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     full = full.withColumn("start", F.col("stop") - F.col("size"))
-    n_blocks = F.ceil(F.col("shard_words") / block_words).cast("long")
-    quota = F.least(F.col("quota"), n_blocks * F.lit(int(most)))
-    copies, extra = F.floor(quota / n_blocks), F.pmod(quota, n_blocks)
-    shift = F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), n_blocks)
-    full = full.withColumn("copies", F.when(n_blocks > 0, copies).otherwise(0).cast("long"))
-    full = full.withColumn("extra", F.when(n_blocks > 0, extra).otherwise(0)).withColumn("shift", F.coalesce(shift, F.lit(0))).withColumn("n_blocks", n_blocks)
-    ids = F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("stop") - 1) / block_words))
-    picked = F.filter(ids, lambda i: F.pmod(i * _PRIME + F.col("shift"), F.col("n_blocks")) < F.col("extra"))
-    inside = lambda i: F.struct(
-        (F.greatest(i * block_words, F.col("start")) - F.col("start")).alias("start"), (F.least((i + 1) * block_words, F.col("stop")) - F.col("start")).alias("stop")
+    n_blocks = F.greatest(F.ceil(F.col("shard_words") / block_words), F.lit(1)).cast("long")  # an empty shard takes nothing either way
+    full = full.withColumn("n_blocks", n_blocks)
+    quota = F.least(F.col("quota"), F.col("n_blocks") * F.lit(int(most)))
+    full = full.withColumn("copies", F.floor(quota / F.col("n_blocks")).cast("long")).withColumn("extra", F.pmod(quota, F.col("n_blocks")))
+    full = full.withColumn("shift", F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.col("n_blocks")))
+    # The picked blocks are a run from the seeded shift on, and what wraps round to the start.
+    first, end = F.col("shift") * block_words, (F.col("shift") + F.col("extra")) * block_words
+    wrapped = (F.col("shift") + F.col("extra") - F.col("n_blocks")) * block_words
+    inside = lambda lo, hi: F.struct(
+        (F.greatest(lo, F.col("start")) - F.col("start")).alias("start"), (F.least(hi, F.col("stop")) - F.col("start")).alias("stop")
     )
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    picks = F.when((F.col("size") > 0) & (F.col("extra") > 0), F.transform(picked, inside)).otherwise(none)
+    runs = F.filter(F.array(inside(F.lit(0).cast("long"), wrapped), inside(first, end)), lambda p: p["stop"] > p["start"])
+    picks = F.when((F.col("size") > 0) & (F.col("extra") > 0), runs).otherwise(none)
     full = full.withColumn("picks", picks)
     part = F.aggregate("picks", F.lit(0).cast("long"), lambda acc, p: acc + p["stop"] - p["start"])
     taken = F.col("copies") * F.col("size") + part
@@ -174,19 +174,16 @@ def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     A document's picked blocks are joined by a space and ``length`` is set anew;
     documents that the mix leaves out are absent. Other columns are copied.
     """
-    key = safe_name(docs, "text_hash")
-    plan = mix(docs.withColumn(key, F.xxhash64(text)), text, doc_id, source, keep=(key,), **options).filter("taken > 0")
+    plan = mix(docs.select(F.col(doc_id), F.col(text), F.col(source), F.xxhash64(text).alias("text_hash")), text, doc_id, source, keep=("text_hash",), **options)
     # Rows that repeat (same id, same text) are paired by their order, so each keeps its own plan.
-    plan = materialise(plan, "mix")
+    plan = materialise(plan.filter("taken > 0"), "mix")
     nth = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(F.lit(1)))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col(key).alias("_hash"), "copies", "picks").withColumn("_nth", nth("_id", "_hash"))
-    rows = docs.withColumn("_h", F.xxhash64(text))
-    rows = rows.withColumn("_n", nth(doc_id, "_h"))
-    on = rows[doc_id].eqNullSafe(plan["_id"]) & (rows["_h"] == plan["_hash"]) & (rows["_n"] == plan["_nth"])
-    rows = rows.join(plan, on)
-    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
+    plan = plan.select(F.col("doc_id").alias("plan_id"), F.col("text_hash").alias("plan_hash"), "copies", "picks").withColumn("plan_nth", nth("plan_id", "plan_hash"))
+    rows = packed(docs, id=F.col(doc_id), body=F.col(text), hash=F.xxhash64(text))
+    rows = rows.withColumn("nth", nth("id", "hash"))
+    rows = rows.join(plan, F.col("id").eqNullSafe(F.col("plan_id")) & (F.col("hash") == F.col("plan_hash")) & (F.col("nth") == F.col("plan_nth")))
+    words = F.regexp_extract_all("body", F.lit(WORD), F.lit(0))
     some = F.array_join(F.flatten(F.transform("picks", lambda p: F.slice(words, (p["start"] + 1).cast("int"), (p["stop"] - p["start"]).cast("int")))), " ")
-    versions = F.concat(F.array_repeat(F.col(text), F.col("copies").cast("int")), F.when(F.size("picks") > 0, F.array(some)).otherwise(F.array().cast("array<string>")))
-    rows = rows.withColumn("_version", F.explode(versions))
-    new = {text: F.col("_version"), length: F.length("_version").cast("long")}
-    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    versions = F.concat(F.array_repeat("body", F.col("copies").cast("int")), F.when(F.size("picks") > 0, F.array(some)).otherwise(F.array().cast("array<string>")))
+    rows = rows.select("row", F.explode(versions).alias("version"))
+    return rows.select(*unpacked(rows, docs.columns, **{text: F.col("version"), length: F.length("version").cast("long")}))
