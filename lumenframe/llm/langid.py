@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import unit_hash
+from .common import packed, unit_hash, unpacked
 
 BITS = 16
 ORDERS = (1, 2, 3, 4)
@@ -110,7 +110,8 @@ def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "lang_") -> DataFrame:
-    """``docs`` with ``<prefix>pred`` and ``<prefix>score`` (0 to 1) appended."""
+    """``docs`` with ``<prefix>pred`` and ``<prefix>score`` (0 to 1) appended, in place of any
+    columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.matrix))  # 2^16 rows x languages
 
     @F.pandas_udf("pred string, score double")
@@ -127,5 +128,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "la
                 pred[i], score[i] = m.languages[k], min(1.0, max(0.0, (v + 1) / 2))
         return pd.DataFrame({"pred": pred, "score": score})
 
-    out = docs.withColumn("_p", label(F.col(text)))
-    return out.select(*docs.columns, F.col("_p.pred").alias(prefix + "pred"), F.col("_p.score").alias(prefix + "score"))
+    new = (prefix + "pred", prefix + "score")
+    rows = packed(docs, p=label(F.col(text)))
+    kept = [c for c in docs.columns if c not in new]
+    return rows.select(*unpacked(rows, kept), F.col("p.pred").alias(new[0]), F.col("p.score").alias(new[1]))

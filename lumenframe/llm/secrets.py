@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, packed, unpacked
 
 # The base kinds, in the order in which they are listed.
 # name: (pattern, group holding the value, least length of that group)
@@ -109,7 +109,7 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repositor
         F.transform(F.filter("found", lambda s: s["live"]), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias("_live"),
     ).filter(F.size("_live") > 0).dropDuplicates(["_id", "_hash"])
     hits = materialise(hits, "live")
-    body = F.col(text)
+    body = F.col("body")
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
@@ -119,7 +119,7 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repositor
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     done = F.aggregate("_live", zero, step)
     rest = F.substring(body, done["at"] + 1, F.length(body))
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce(body, F.lit(""))))
-    out = keyed.join(hits, keyed[doc_id].eqNullSafe(hits["_id"]) & (keyed["_hash"] == hits["_hash"]), "left")
+    rows = packed(docs, id=F.col(doc_id), body=F.col(text), hash=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.join(hits, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
     new = F.when(F.col("_live").isNull(), body).otherwise(F.concat(done["out"], rest))
-    return out.select(*[new.alias(c) if c == text else keyed[c] for c in docs.columns])
+    return rows.select(*unpacked(rows, docs.columns, **{text: new}))

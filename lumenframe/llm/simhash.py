@@ -50,15 +50,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+    """(doc_id, text_hash, fp): the fingerprint as a signed 64-bit number."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def work(batches):
         for batch in batches:
             fp = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(work, f"doc_id {kind}, fp long")
+    return docs.select(F.col(doc_id), F.col(text), F.xxhash64(text)).mapInArrow(work, f"doc_id {kind}, text_hash long, fp long")
 
 
 def bit_moments(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -196,13 +196,13 @@ def links(fps: DataFrame, radius: int = 2, small: int = 64) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 2) -> DataFrame:
-    """One row per document: doc_id, fp and component_id (smallest reachable doc_id)."""
+    """One row per document: doc_id, text_hash, fp, component_id (smallest reachable
+    doc_id) and first_hash (the text hash of that document; the smallest, if ids repeat)."""
     marks = materialise(fingerprints(docs, text, doc_id), "fingerprints")
-    classes = materialise(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    edges = links(classes.select("fp"), radius)
-    roots = components(edges)
+    classes = materialise(marks.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")), "classes")
+    roots = components(links(classes.select("fp"), radius))
     named = roots.join(classes, roots.node == classes.fp).select("node", "component", "first")
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     found = named.join(least, "component").select(F.col("node").alias("fp"), "least")
-    classes = classes.join(found, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return marks.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = classes.join(found, "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
+    return marks.join(classes, "fp").select("doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("first_hash"))
