@@ -46,7 +46,7 @@ def cuts(raw: np.ndarray, gear: np.ndarray, least: int, most: int) -> list[int]:
     return ends
 
 
-def chunk_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 12, most: int = 512) -> DataFrame:
+def chunk_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 12, most: int = 128) -> DataFrame:
     """One row per document: doc_id, digests, stops (code points), words (begun in each chunk)."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -81,7 +81,7 @@ def _passages(at: np.ndarray, stops: np.ndarray, words: np.ndarray, min_words: i
     return spans
 
 
-def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 12, least: int = 12, most: int = 512) -> DataFrame:
+def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 24, least: int = 12, most: int = 128) -> DataFrame:
     """One row per document: doc_id, n_chunks, n_repeated, repeated and removable.
 
     ``n_repeated`` counts chunks inside passages found elsewhere; ``repeated`` and
