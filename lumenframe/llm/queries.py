@@ -80,8 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # Exact scores by brute force; fine at the sizes of the SQL check.
 TOPK_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
-  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
@@ -94,7 +94,7 @@ LINKS_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
 ), good AS (
-  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98
@@ -106,5 +106,34 @@ FROM v LEFT JOIN low ON low.a = v.vec_id LEFT JOIN deg ON deg.a = v.vec_id
 """
 
 
+def _kind_sql(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind in SQL: where a match stands follows from the gaps before it."""
+    p = pattern.replace("'", "''")
+    before = "list_sum(list_transform(gap[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hit[1:k - 1], lambda x: length(x))), 0)"
+    return f"""SELECT doc_id, source, lang, {rank} AS rank, '{kind}' AS kind, start, start + length(whole) AS stop, value FROM (
+  SELECT doc_id, source, lang, {before} AS start, hit[k] AS whole, val[k] AS value FROM (
+    SELECT doc_id, source, lang, hit, val, gap, unnest(range(1, len(hit) + 1)) AS k FROM (
+      SELECT doc_id, source, lang, regexp_extract_all(text, '{p}') AS hit, regexp_extract_all(text, '{p}', {group}) AS val, string_split_regex(text, '{p}') AS gap
+      FROM documents WHERE regexp_matches(text, '{p}')))) WHERE length(value) >= {least}"""
+
+
+def _secret_sql() -> str:
+    # RE2 folds case beyond ASCII, so the either-case letters are written out.
+    spelled = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+    kinds = []
+    for i, k in enumerate(secrets.KINDS):
+        pattern, group, least = (secrets.BASE | secrets.ADDED)[k]
+        pattern = pattern.replace("(?i:password|passwd|secret|token|api_?key)", spelled)
+        kinds.append(_kind_sql(i, k, pattern, group, least))
+    said = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank){}, '')"
+    return f"""WITH spans AS ({" UNION ALL ".join(kinds)}),
+owners AS (SELECT value, count(DISTINCT coalesce(source, '')) AS n FROM spans GROUP BY value),
+each AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.BASE)},
+  {said.format(f" FILTER (rank < {len(secrets.BASE)})")} AS base, {said.format("")} AS spans,
+  count(*) FILTER (n < 3) AS n_live, count(*) FILTER (n >= 3) AS n_examples FROM spans JOIN owners USING (value) GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples FROM documents d LEFT JOIN each USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": LINKS_SQL, "op10_exact_topk": TOPK_SQL}
+    return {"op2_embedding_dedup": LINKS_SQL, "op3_secret_scan": _secret_sql(), "op10_exact_topk": TOPK_SQL}
