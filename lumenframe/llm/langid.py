@@ -93,16 +93,24 @@ def fit(rows: list, landmarks: int = 192, ridge: float = 1e-2) -> Model:
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return Model([], np.zeros((1 << BITS, 0), dtype=np.float32))
-    x = np.stack([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)) for r in rows]).astype(np.float32)
-    x /= np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
-    y = np.array([[1.0 if r["lang"] == l else -1.0 for l in languages] for r in rows])
-    marks = x[:landmarks]
+
+    def presence_rows(some: list) -> np.ndarray:
+        x = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in some), dtype=np.uint8).reshape(len(some), -1), axis=1).astype(np.float32)
+        x /= np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
+        return x
+
+    marks = presence_rows(rows[:landmarks])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = (x @ marks.T).astype(np.float64) @ root
-    weights = np.linalg.solve(phi.T @ phi + ridge * len(rows) / 100 * np.eye(phi.shape[1]), phi.T @ y)
-    return Model(languages, np.ascontiguousarray(marks.T.astype(np.float64) @ (root @ weights), dtype=np.float32))
+    square, sums = np.zeros((root.shape[1], root.shape[1])), np.zeros((root.shape[1], len(languages)))
+    for lo in range(0, len(rows), 64):  # dense rows are large: a few at a time
+        some = rows[lo : lo + 64]
+        phi = (presence_rows(some) @ marks.T).astype(np.float64) @ root
+        square += phi.T @ phi
+        sums += phi.T @ np.array([[1.0 if r["lang"] == l else -1.0 for l in languages] for r in some])
+    weights = np.linalg.solve(square + ridge * len(rows) / 100 * np.eye(len(square)), sums)
+    return Model(languages, np.ascontiguousarray(marks.T @ (root @ weights).astype(np.float32)))
 
 
 def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 250, seed: int = 5, **options) -> Model:
