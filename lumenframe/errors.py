@@ -77,5 +77,5 @@ def suggestions(name: str, known) -> list[str]:
 
 def unknown_field(name: str, known, clause: str) -> QueryError:
     near = suggestions(name, known)
-    hint = f". Did you mean: {', '.join(near)}?" if near else ""
-    return QueryError("unknown_field", f"Unknown field '{name}' in {clause} clause{hint}")
+    hint = f"; close to {', '.join(near)}" if near else ""
+    return QueryError("unknown_field", f"{clause} names '{name}', which is no field{hint}")

@@ -18,7 +18,7 @@ def window_column(spec: WindowSpec, schema: T.StructType, row_id: str) -> Column
     """Ranks are long. Running metrics skip nulls and are null before the first value.
     Order is nulls lowest; source order settles ties, except in ranks."""
     if not spec.orders:
-        raise QueryError("aggregation", "Window SELECT expressions require OVER(... ORDER BY ...)")
+        raise QueryError("aggregation", "a window function needs an order")
     for name in (*spec.partition, *(o.field for o in spec.orders), *([spec.value] if spec.value else [])):
         if name not in schema.names:
             raise unknown_field(name, schema.names, "SELECT")

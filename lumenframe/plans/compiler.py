@@ -35,7 +35,7 @@ def _rule(rule: Rule, schema: T.StructType, grouped: bool, strict: bool, clause_
     """The rule's predicate, or None where a lenient rule names no column."""
     if is_expression(rule.field) and rule.field not in schema.names:
         if rule.clause in (Clause.CONTAINS, Clause.MATCHES):
-            raise QueryError("expression_reference", f"Expression references in {clause_name} only support numeric comparison operators")
+            raise QueryError("expression_reference", f"arithmetic in {clause_name} compares as a number only")
 
         def resolve(name: str) -> Column:
             if name not in schema.names:
@@ -158,13 +158,13 @@ def compile_query(spec: QuerySpec, hook: StageHook | None = None, project: bool
     df = numbered(df)
     if spec.metrics:
         if spec.windows:
-            raise QueryError("aggregation", "Window functions are only supported for non-aggregate queries")
+            raise QueryError("aggregation", "an aggregate query cannot have window functions")
         df = seen("aggregate", aggregate(df, spec.groups, spec.metrics, spec.compat, ROW_ID if ROW_ID in df.columns else None))
         if not spec.having.empty:
             test = condition(spec.having, df.schema, "HAVING")
             df = seen("having", df if test is None else df.filter(test))
     elif not spec.having.empty:
-        raise QueryError("having_reference", "HAVING requires GROUP BY or aggregate SELECT output")
+        raise QueryError("having_reference", "HAVING needs groups or metrics")
     if spec.windows:
         df = df.withColumns({w.alias: window_column(w, df.schema, ROW_ID) for w in spec.windows})
         df = seen("window", df)
@@ -173,7 +173,7 @@ def compile_query(spec: QuerySpec, hook: StageHook | None = None, project: bool
             test = condition(spec.qualify, aliases, "QUALIFY")
             df = seen("qualify", df if test is None else df.filter(test))
     elif not spec.qualify.empty:
-        raise QueryError("aggregation", "QUALIFY requires at least one window output")
+        raise QueryError("aggregation", "QUALIFY needs a window function")
     if spec.orders and spec.sort:
         names = [find(o, df.columns, ignore_case=True) for o in spec.orders]
         if None in names:

@@ -55,17 +55,17 @@ class ChartSpec:
 
     def check(self) -> None:
         if not self.x or not self.x.strip() or not self.y or not self.y.strip():
-            raise ValueError("Chart x and y fields are required")
+            raise ValueError("a chart needs an x and a y field")
         if self.series is not None and not self.series.strip():
-            raise ValueError("Chart series field must not be blank when provided")
+            raise ValueError("the series field is blank")
         if self.type is ChartType.PIE and self.series:
-            raise ValueError("Chart type PIE does not support a series field")
+            raise ValueError("a pie has no series")
         if self.percent_stacked and not self.stacked:
-            raise ValueError("percent_stacked requires stacked")
+            raise ValueError("percentages need stacking")
         if self.stacked and not self.series:
-            raise ValueError("Stacked charts require a series field")
+            raise ValueError("stacking needs a series field")
         if self.stacked and self.type not in (ChartType.BAR, ChartType.AREA):
-            raise ValueError("Stacking is supported only for BAR and AREA charts")
+            raise ValueError("only bars and areas stack")
 
 
 @dataclass
@@ -91,7 +91,7 @@ def _label(value: Any, spec: ChartSpec) -> str | None:
         return value.strftime(_strftime(spec.date_format or "yyyy-MM-dd HH:mm:ss"))
     if isinstance(value, (int, float, Decimal)) and not isinstance(value, bool):
         return str(value)
-    raise ValueError(f"Chart field '{spec.x}' has unsupported type '{type(value).__name__}'")
+    raise ValueError(f"'{spec.x}' holds a {type(value).__name__}, which is no label")
 
 
 def _strftime(pattern: str) -> str:
@@ -102,9 +102,9 @@ def _strftime(pattern: str) -> str:
 
 def _number(value: Any, spec: ChartSpec) -> float:
     if value is None:
-        raise ValueError(f"Chart field '{spec.y}' must not be null")
+        raise ValueError(f"'{spec.y}' is null")
     if isinstance(value, bool) or not isinstance(value, (int, float, Decimal)):
-        raise ValueError(f"Chart field '{spec.y}' must be numeric")
+        raise ValueError(f"'{spec.y}' is no number")
     return float(value)
 
 
@@ -116,7 +116,7 @@ def to_chart(df: DataFrame, spec: ChartSpec) -> ChartData:
     spec.check()
     for name in (spec.x, spec.y, *([spec.series] if spec.series else [])):
         if name not in df.columns:
-            raise ValueError(f"Unknown chart field '{name}'")
+            raise ValueError(f"the result has no field '{name}'")
     wanted = [col(spec.x).alias("x"), col(spec.y).alias("y"), *([col(spec.series).alias("s")] if spec.series else [])]
     rows = df.select(*wanted).limit(MAX_POINTS + 1).collect()
     if len(rows) > MAX_POINTS:

@@ -17,9 +17,9 @@ class JoinBindings:
 
     def add(self, name: str, frame: DataFrame) -> JoinBindings:
         if not name or not name.strip():
-            raise QueryError("source_name", "JOIN source name must not be null/blank")
+            raise QueryError("source_name", "a join source has no name")
         if name in self.frames:
-            raise QueryError("duplicate_source", f"Duplicate JOIN source binding '{name}'")
+            raise QueryError("duplicate_source", f"'{name}' is bound twice")
         return JoinBindings({**self.frames, name: frame})
 
     @staticmethod

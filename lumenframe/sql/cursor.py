@@ -32,7 +32,7 @@ def _encode(value: Any) -> tuple[str, str]:
         return "DATE", str((at - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(milliseconds=1))
     if isinstance(value, str):
         return "STR", value
-    raise QueryError("cursor_value", f"Unsupported cursor token value type: {type(value).__name__}")
+    raise QueryError("cursor_value", f"a cursor cannot hold a {type(value).__name__}")
 
 
 def _boolean(text: str) -> bool:
@@ -67,7 +67,7 @@ class Cursor:
 
     def token(self) -> str:
         if not self.values:
-            raise QueryError("cursor_value", "Cursor token cannot be generated from empty cursor")
+            raise QueryError("cursor_value", "an empty cursor has no token")
         parts = [VERSION]
         for field, value in self.values:
             kind, text = _encode(value)
@@ -78,28 +78,28 @@ class Cursor:
     def from_token(token: str) -> Cursor:
         bad = lambda why: QueryError("cursor_token", why)
         if not token or not token.strip():
-            raise bad("Cursor token must not be null/blank")
+            raise bad("the cursor token is empty")
         try:
             text = base64.b64decode(token + "=" * (-len(token) % 4), altchars=b"-_", validate=True).decode()
         except (binascii.Error, ValueError) as e:
-            raise bad("Cursor token is not valid Base64URL") from e
+            raise bad("the cursor token does not decode") from e
         head, *entries = text.split(";")
         if head != VERSION or not entries:
-            raise bad("Cursor token version is invalid or unsupported")
+            raise bad("the cursor token is of no known version")
         values: dict[str, Any] = {}
         for entry in entries:
             field, kind, value = (entry.split(",", 2) + ["", ""])[:3] if entry.count(",") >= 2 else ("", "", "")
             field = unquote_plus(field)
             if not field.strip():
-                raise bad("Cursor token entry is malformed")
+                raise bad("the cursor token has a broken entry")
             if kind not in DECODERS:
-                raise bad(f"Cursor token value type '{kind}' is unsupported")
+                raise bad(f"the cursor token has a value of unknown type '{kind}'")
             if field in values:
-                raise bad(f"Cursor token contains duplicate field '{field}'")
+                raise bad(f"the cursor token names '{field}' twice")
             try:
                 values[field] = DECODERS[kind](unquote_plus(value))
             except (ValueError, ArithmeticError) as e:
-                raise bad(f"Cursor token value is invalid for type '{kind}'") from e
+                raise bad(f"the cursor token's value of '{field}' is no {kind}") from e
         return Cursor(tuple(values.items()))
 
 
@@ -108,14 +108,14 @@ def continue_from(ast: Ast, cursor: Cursor, before: bool = False) -> Ast:
 
     Only the comparison depends on the side, the sort does not."""
     if not ast.orders:
-        raise QueryError("cursor_order", "Keyset cursor paging requires ORDER BY fields")
+        raise QueryError("cursor_order", "a cursor continues a sorted query; add ORDER BY")
     values, fields = dict(cursor.values), [o.field for o in ast.orders]
     if not values:
-        raise QueryError("cursor_value", "Cursor must include at least one field value")
+        raise QueryError("cursor_value", "the cursor holds no values")
     if sorted(values) != sorted(fields):
-        raise QueryError("cursor_fields", f"Cursor fields must match ORDER BY fields exactly: expected {fields} but received {list(values)}")
+        raise QueryError("cursor_fields", f"the cursor holds {list(values)}, the query sorts by {fields}")
     if any(v is None for v in values.values()):
-        raise QueryError("cursor_value", "Cursor values must not be null")
+        raise QueryError("cursor_value", "a cursor value is null")
     later, tree, equal = None, None, []
     for order in ast.orders:
         up = (order.sort is Sort.ASC) != before

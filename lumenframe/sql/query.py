@@ -22,9 +22,9 @@ from .syntax import Ast, Param, SubQuery, parse_text, rules_of
 
 # Lint codes and what they say.
 LINT = {
-    "LINT-001": "Avoid SELECT * in long-lived SQL-like queries; prefer explicit fields or aliases",
-    "LINT-002": "LIMIT/OFFSET without ORDER BY can yield unstable result ordering",
-    "LINT-003": "Prefer named parameters over inline string literals for reusable and safer queries",
+    "LINT-001": "the result follows the source's columns; name the fields you need",
+    "LINT-002": "a page of unsorted rows differs from run to run; add ORDER BY",
+    "LINT-003": "a text value is written into the query; a parameter would keep it reusable",
 }
 
 
@@ -89,12 +89,12 @@ class SqlQuery:
         """All parameters at once: missing and unknown names raise."""
         values = {**(values or {}), **more}
         if any(not isinstance(k, str) or not k.strip() for k in values):
-            raise QueryError("param_name", "Parameter name must not be null/blank")
+            raise QueryError("param_name", "a parameter has no name")
         used = params_of(self.ast)
         if missing := sorted(set(used) - set(values)):
-            raise QueryError("param_missing", f"Missing SQL-like parameter(s): {missing}")
+            raise QueryError("param_missing", f"no value given for parameter(s) {missing}")
         if unknown := sorted(set(values) - set(used)):
-            raise QueryError("param_unknown", f"Unknown SQL-like parameter(s): {unknown}")
+            raise QueryError("param_unknown", f"the query has no parameter(s) {unknown}")
         return replace(self, given=values) if self.strict else replace(self, ast=fill_params(self.ast, values), given=values)
 
     def strict_types(self) -> SqlQuery:
@@ -125,7 +125,7 @@ class SqlQuery:
             check_param_types(ast, self.given, Scope(ast, source, joins or {}, self.registry))
             ast = fill_params(ast, self.given)
         if left := sorted(params_of(ast)):
-            raise QueryError("param_unresolved", f"Query contains unresolved SQL-like parameter(s): {left}. Call params(...) before execution.")
+            raise QueryError("param_unresolved", f"parameter(s) {left} have no value yet; give them with params()")
         return Binder(ast, source, joins or {}, self.registry).plan()
 
     def _hook(self):
