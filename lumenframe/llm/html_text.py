@@ -31,35 +31,49 @@ WORDS = frozenset("ad ads adv advert advertisement advertising banner breadcrumb
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 _PARTS = re.compile(r"[a-z]+")
+_STATE = re.compile(r"(?:has|have|is|no|not|with|without|show|hide)[-_]")  # says something about the page, not the element
 
 
-def _is_furniture(tag: str, attrs: list, inside_article: bool) -> bool:
-    if tag in ("html", "body", "main", "article"):
+def _named_furniture(value: str, whole: bool) -> bool:
+    """Does a class or id name furniture? ``whole``: only if a name is such a word as it stands."""
+    for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+        if not _STATE.match(name) and (name in WORDS if whole else not WORDS.isdisjoint(_PARTS.findall(name))):
+            return True
+    return False
+
+
+def _is_furniture(tag: str, attrs: list, inside_article: bool, use_names: bool) -> bool:
+    if tag in ("html", "body", "main"):
         return False
     if tag in FURNITURE:
         return not (tag == "header" and inside_article)
     for name, value in attrs:
-        if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
-        if not value:
-            continue
-        if name == "role" and value.strip().lower() in ROLES:
+        if value and name == "role" and value.strip().lower() in ROLES:
+            return True
+        if value and use_names and name in ("class", "id") and tag not in HEADINGS and _named_furniture(value, tag == "article"):
             return True
-        if name in ("class", "id") and not WORDS.isdisjoint(_PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-            return not (tag in HEADINGS or (tag == "header" and inside_article))
     return False
 
 
 class _Blocks(HTMLParser):
     """Collects blocks: (text, tags, linked characters, furniture, container, in article)."""
 
-    def __init__(self) -> None:
+    def __init__(self, use_names: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.use_names = use_names
         self.blocks: list[tuple[str, int, int, bool, int, bool]] = []
         self.stack: list[tuple[str, bool, bool, int]] = []  # tag, furniture, article, number
+        self.open: dict[str, int] = {}
         self.words: list[str] = []
         self.tags = self.linked = self.links = self.count = 0
 
+    def _pop(self) -> str:
+        tag = self.stack.pop()[0]
+        self.open[tag] -= 1
+        return tag
+
     def _end_block(self) -> None:
         if self.words:
             text = " ".join("".join(self.words).split())
@@ -75,9 +89,9 @@ class _Blocks(HTMLParser):
         if block:
             self._end_block()
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and self.stack and self.stack[-1][0] == tag:
-                self.stack.pop()
+                self._pop()
             while self.stack and self.stack[-1][0] == "p":  # a block closes an open paragraph
-                self.stack.pop()
+                self._pop()
         if tag == "br":
             self.words.append(" ")
         self.tags += 1
@@ -86,20 +100,21 @@ class _Blocks(HTMLParser):
         if tag == "a":
             self.links += 1
         outer = self.stack[-1] if self.stack else ("", False, False, 0)
-        furniture = _is_furniture(tag, attrs, outer[2])
+        furniture = _is_furniture(tag, attrs, outer[2], self.use_names)
         if block or furniture:
             if furniture and not block:
                 self._end_block()
             self.count += 1
+            self.open[tag] = self.open.get(tag, 0) + 1
             self.stack.append((tag, outer[1] or furniture, outer[2] or tag in ("article", "main"), self.count))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag == "a":
             self.links = max(0, self.links - 1)
-        if any(s[0] == tag for s in self.stack):
+        if self.open.get(tag):
             self._end_block()
-            while self.stack.pop()[0] != tag:
+            while self._pop() != tag:
                 pass
         elif tag in BLOCKS:
             self._end_block()
@@ -113,6 +128,9 @@ class _Blocks(HTMLParser):
         cut = html.rfind("<")
         if cut > html.rfind(">") and re.match(r"<(?:[a-zA-Z/!?]|$)", html[cut:]):
             html = html[:cut]  # the page broke off inside a tag
+        start = html.find("<!--", html.rfind("-->") + 1)
+        if start >= 0 and html.rfind("<script", 0, start) <= html.rfind("</script", 0, start):
+            html = html[:start]  # a comment that never ends
         self.feed(html)
         self.close()
         self._end_block()
@@ -137,7 +155,11 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article of a page, its blocks joined by two line breaks."""
     if not html:
         return ""
-    blocks = _Blocks().blocks_of(html)
+    # A wrapper around everything may have a misleading name: then names do not count.
+    return _select(_Blocks().blocks_of(html), sigma) or _select(_Blocks(use_names=False).blocks_of(html), sigma)
+
+
+def _select(blocks: list[tuple[str, int, int, bool, int, bool]], sigma: float) -> str:
     ratios = [0.0 if b[3] else max(0, len(b[0]) - b[2]) / max(1, b[1]) for b in blocks]
     if not any(ratios):
         return ""

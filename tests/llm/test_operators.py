@@ -100,6 +100,11 @@ PARAGRAPH = "Words of the article stand here in a line that is long enough to lo
         (f"<div id=content><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><p>End.</p></div><div><a href=x>A</a> <a href=y>B</a> <a href=z>C</a></div>", f"{PARAGRAPH}\n\n{PARAGRAPH}\n\nEnd."),
         (f"<article><p>{PARAGRAPH}</p><p class='ad sponsored'>{PARAGRAPH} buy</p><p>&lt;b&gt; &#233; &nbsp; x</p><p>cut <a href='", f"{PARAGRAPH}\n\n<b> é x\n\ncut"),
         (f"<p>{PARAGRAPH}</p><div role=navigation>{PARAGRAPH}</div>", PARAGRAPH),
+        (f"<article><p>{PARAGRAPH}</p><!-- {PARAGRAPH}", PARAGRAPH),
+        (f"<article><script>x = '<!--';</script><p>{PARAGRAPH}</p>", PARAGRAPH),
+        (f"<body class='has-sidebar'><div class='page no-ads'><article><p>{PARAGRAPH}</p></article></div></body>", PARAGRAPH),
+        (f"<div class='layout sidebar-right'><article><p>{PARAGRAPH}</p></article><aside>{PARAGRAPH}</aside></div>", PARAGRAPH),
+        (f"<article class='post'><p>{PARAGRAPH}</p></article><article class='comment'><p>{PARAGRAPH} says a reader</p></article>", PARAGRAPH),
     ],
 )
 def test_main_text(html, text):
