@@ -123,7 +123,7 @@ def _top(edges: DataFrame, lists: DataFrame | None, start: int, explore: float)
     return edges.withColumn("r", rank).filter(F.col("r") <= F.col("size")).select("u", "w", "s", "size")
 
 
-def neighbour_graph(reps: DataFrame, threshold: float, start: int = 8, largest: int = 32, leaf: int = 32, explore: float = 0.6, rounds: int = 4, first_tree: int = 0, known: DataFrame | None = None, recall: float = 0.99, seed: int = 11) -> DataFrame:
+def neighbour_graph(reps: DataFrame, threshold: float, start: int = 8, largest: int = 16, leaf: int = 32, explore: float = 0.6, rounds: int = 4, first_tree: int = 0, known: DataFrame | None = None, recall: float = 0.99, seed: int = 11) -> DataFrame:
     """Edges (u, w, s, size): the refined neighbour lists of ``reps`` (vec_id, group, v)."""
     sizes = materialise(reps.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "sizes")
     most = sizes.agg(F.max("n")).first()[0] or 1
@@ -157,7 +157,7 @@ def neighbour_graph(reps: DataFrame, threshold: float, start: int = 8, largest:
         near = near.union(lists.select("u", F.col("u").alias("w")))
         # Reverse neighbours of a hub are met in blocks, none is left out.
         degree = near.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
-        near = near.join(degree, "u").withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "w"), F.ceil(F.col("d") / 64).cast("long")))
+        near = near.join(degree, "u").withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "w"), F.ceil(F.col("d") / 32).cast("long")))
         met = near.join(vectors, "w").groupBy("u", "part").agg(F.collect_list("w").alias("ids"), F.collect_list("v").alias("vs"))
         met = met.filter(F.size("ids") > 2).join(lists, "u").select("ids", "vs", F.col("size").alias("keep"))
         pairs = met.mapInArrow(_best_pairs(explore), "u long, w long, s double")
