@@ -172,7 +172,7 @@ class Query:
     def grouped(self, date_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
         """Filtered rows with ``group_key``: the texts of the group fields, each with a comma."""
         spec = self.spec
-        df = compile_query(spec.with_(groups=(), metrics=(), orders=(), sort=None), self._hook(), project=False)
+        df = compile_query(spec.with_(groups=(), metrics=(), outputs=(), orders=(), sort=None), self._hook(), project=False)
         if not spec.groups:
             key = F.lit(EMPTY_GROUPING)
         else:
@@ -193,8 +193,11 @@ class Query:
 
     def chart(self, spec, sort: Sort | None = None):
         from .reports.chart import to_chart
+        from .telemetry import tell
 
-        return to_chart(self.rows(sort), spec)
+        out = to_chart(self.rows(sort), spec)
+        tell(self.listeners, "chart", "fluent")
+        return out
 
     def schema(self):
         from .reports.table import schema_of

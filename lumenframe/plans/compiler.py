@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..computed import apply_computed
 from ..errors import QueryError, unknown_field
 from ..functions.buckets import bucket_label
-from ..functions.expressions import compile_expression, is_expression
+from ..functions.expressions import compile_expression, identifiers, is_expression
 from ..functions.predicates import predicate
 from ..operators.aggregates import aggregate, distinct_rows
 from ..operators.columns import col, find, flatten
@@ -130,6 +130,26 @@ def _where(df: DataFrame, cond: Condition) -> DataFrame:
     return df.select(*[col(c) for c in columns]) if n else df
 
 
+def _needed(spec: QuerySpec) -> set[str] | None:
+    """Fields that anything behind distinct reads; None where that is every field."""
+    if not spec.outputs and not spec.metrics:
+        return None
+    texts = [o.source for o in spec.outputs] + list(spec.orders) + [m.field for m in spec.metrics if m.field] + [g.field for g in spec.groups]
+    for w in spec.windows:
+        texts += [*w.partition, *(o.field for o in w.orders), *([w.value] if w.value else [])]
+    for rules in (spec.where.flat, *spec.where.all_of, *spec.where.any_of):
+        texts += [r.field for r in rules]
+    todo = [spec.where.tree]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, Both):
+            todo += [node.left, node.right]
+        elif isinstance(node, Rule):
+            texts.append(node.field)
+    names = {n for t in texts for n in ([t] if not is_expression(t) else identifiers(t))}
+    return names | {n.lower() for n in names}
+
+
 def compile_query(spec: QuerySpec, hook: StageHook | None = None, project: bool = True) -> DataFrame:
     """The DataFrame of a plan. ``hook(stage, df)`` may observe every stage."""
     seen = hook or (lambda stage, df: df)
@@ -147,7 +167,12 @@ def compile_query(spec: QuerySpec, hook: StageHook | None = None, project: bool
 
     def distinct(frame: DataFrame) -> DataFrame:
         fields = tuple(f for f in spec.distinct if f in frame.columns)
-        return distinct_rows(numbered(frame), fields, ROW_ID, spec.compat) if fields else frame
+        if not fields:
+            return frame
+        needed = _needed(spec)
+        if needed is not None:  # rows are rebuilt from an aggregate, which only holds what is read
+            frame = frame.select(*[col(c) for c in frame.columns if c in fields or c == ROW_ID or c in needed or c.lower() in needed])
+        return distinct_rows(numbered(frame), fields, ROW_ID, spec.compat)
 
     if spec.distinct_stage == "before where" and spec.distinct:
         df = distinct(df)

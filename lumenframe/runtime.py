@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .computed import ComputedFields
 from .fluent import Query
 from .sql.query import ParseCache, SqlQuery, parse
+from .telemetry import tell
 
 # Session settings that results and plans rely on.
 SESSION = {
@@ -51,6 +52,7 @@ class Runtime:
 
     def parse(self, text: str) -> SqlQuery:
         q = replace(parse(text, self.cache), registry=self.computed, listeners=self.listeners)
+        tell(self.listeners, "parse", "sql-like", text)
         return q.strict_types() if self.strict_types else q
 
     def query(self, source: DataFrame) -> Query:

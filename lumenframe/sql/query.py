@@ -148,8 +148,11 @@ class SqlQuery:
 
     def chart(self, source: DataFrame, spec, joins: dict[str, DataFrame] | None = None):
         from ..reports.chart import to_chart
+        from ..telemetry import tell
 
-        return to_chart(self.rows(source, joins), spec)
+        out = to_chart(self.rows(source, joins), spec)
+        tell(self.listeners, "chart", "sql-like", self.text)
+        return out
 
     def bind(self, source: DataFrame, joins: dict[str, DataFrame] | None = None) -> BoundQuery:
         """The query with its sources, checked now."""

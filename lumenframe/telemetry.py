@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 # The event stage of every plan stage.
-STAGES = {"source": "BIND", "join": "BIND", "where": "FILTER", "aggregate": "AGGREGATE", "having": "AGGREGATE", "window": "AGGREGATE", "qualify": "FILTER", "order": "ORDER", "project": "PROJECT"}
+STAGES = {"source": "BIND", "join": "BIND", "where": "FILTER", "aggregate": "AGGREGATE", "having": "AGGREGATE", "window": "AGGREGATE", "qualify": "FILTER", "order": "ORDER", "project": "PROJECT", "parse": "PARSE", "chart": "CHART"}
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,12 @@ class TelemetryEvent:
 Listener = Callable[[TelemetryEvent], Any]
 
 
+def tell(listeners: tuple[Listener, ...], step: str, query_type: str, source: str | None = None) -> None:
+    """An event without rows of its own: a text was parsed, a chart was drawn."""
+    for listener in listeners:
+        listener(TelemetryEvent(STAGES[step], step, query_type, source))
+
+
 def observe(query_type: str, listeners: tuple[Listener, ...], source: str | None = None) -> Callable[[str, DataFrame], DataFrame]:
     """A stage hook that counts rows on the side (no extra job) and tells the listeners.
 
