@@ -27,6 +27,10 @@ def rule(field: str, clause: Clause, value: Any, date_format: str | None = None)
     return Rule(field, clause, value, Separator.AND, date_format)
 
 
+def _placed(known: tuple, new: tuple, at: int | None) -> tuple:
+    return (*known, *new) if at is None else (*known[:at], *new, *known[at:])
+
+
 @dataclass(frozen=True)
 class Query:
     """A query over a DataFrame. Every step returns a new query; nothing runs before a sink."""
@@ -48,9 +52,9 @@ class Query:
     def computed(self, registry: ComputedFields) -> Query:
         return self._set(computed=registry)
 
-    def distinct(self, *fields: str) -> Query:
+    def distinct(self, *fields: str, at: int | None = None) -> Query:
         """Distinct on the fields, keeping whole rows: the values of the last duplicate."""
-        return self._set(distinct=tuple(dict.fromkeys((*self.spec.distinct, *fields))))
+        return self._set(distinct=tuple(dict.fromkeys(_placed(self.spec.distinct, fields, at))))
 
     def index(self, field: str) -> Query:
         """A hint that results never depend on; file statistics do the pruning."""
@@ -69,9 +73,9 @@ class Query:
         c = self.spec.where
         return self._set(where=replace(c, any_of=(*c.any_of, rules)))
 
-    def having(self, field: str, clause: Clause, value: Any, separator: Separator = Separator.AND) -> Query:
+    def having(self, field: str, clause: Clause, value: Any, separator: Separator = Separator.AND, date_format: str | None = None) -> Query:
         c = self.spec.having
-        return self._set(having=replace(c, strict=True, flat=(*c.flat, Rule(field, clause, value, separator))))
+        return self._set(having=replace(c, strict=True, flat=(*c.flat, Rule(field, clause, value, separator, date_format))))
 
     def having_all_of(self, *rules: Rule) -> Query:
         c = self.spec.having
@@ -81,9 +85,9 @@ class Query:
         c = self.spec.having
         return self._set(having=replace(c, any_of=(*c.any_of, rules)))
 
-    def qualify(self, alias: str, clause: Clause, value: Any, separator: Separator = Separator.AND) -> Query:
+    def qualify(self, alias: str, clause: Clause, value: Any, separator: Separator = Separator.AND, date_format: str | None = None) -> Query:
         c = self.spec.qualify
-        return self._set(qualify=replace(c, strict=True, flat=(*c.flat, Rule(alias, clause, value, separator))))
+        return self._set(qualify=replace(c, strict=True, flat=(*c.flat, Rule(alias, clause, value, separator, date_format))))
 
     def qualify_all_of(self, *rules: Rule) -> Query:
         c = self.spec.qualify
@@ -106,8 +110,9 @@ class Query:
     def select_expression(self, expression: str, name: str) -> Query:
         return self._set(outputs=(*self.spec.outputs, Output(expression, name, expression=True)))
 
-    def group(self, field: str, date_format: str | None = None) -> Query:
-        return self._set(groups=(*self.spec.groups, GroupKey(field, field, date_format)))
+    def group(self, field: str, date_format: str | None = None, at: int | None = None) -> Query:
+        """A group key, at place ``at`` among the keys. With a date format dates group by its text."""
+        return self._set(groups=_placed(self.spec.groups, (GroupKey(field, field, date_format),), at))
 
     def time_bucket(self, field: str, bucket: Bucket | str, alias: str) -> Query:
         """A calendar label of a date field, as an output and a group key."""
@@ -126,9 +131,9 @@ class Query:
         keys = tuple(OrderKey(o) if isinstance(o, str) else o for o in orders)
         return self._set(windows=(*self.spec.windows, WindowSpec(function, alias, value, tuple(partition), keys)))
 
-    def order(self, *fields: str) -> Query:
-        """Sort fields; the direction is given when rows are asked for."""
-        return self._set(orders=(*self.spec.orders, *fields))
+    def order(self, *fields: str, at: int | None = None) -> Query:
+        """Sort fields, from place ``at`` on; the direction is given when rows are asked for."""
+        return self._set(orders=_placed(self.spec.orders, fields, at))
 
     def limit(self, n: int) -> Query:
         if n < 0:

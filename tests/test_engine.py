@@ -166,6 +166,14 @@ def test_order_and_paging(employees):
         q.limit(-1)
 
 
+def test_places_of_keys(employees):
+    q = Query.of(employees).order("id").order("department", at=0)
+    assert q.spec.orders == ("department", "id")
+    assert [r["id"] for r in q.rows(Sort.DESC).collect()] == [2, 4, 3, 1]
+    assert [g.field for g in Query.of(employees).group("a").group("b", at=0).spec.groups] == ["b", "a"]
+    assert Query.of(employees).distinct("a").distinct("b", at=0).spec.distinct == ("b", "a")
+
+
 def test_top_k_plan(employees):
     plan = Query.of(employees).order("salary").limit(2).explain(Sort.DESC)["plan"]
     assert "TakeOrderedAndProject" in plan
