@@ -8,7 +8,8 @@ step after the presence vector is linear, a batch is scored by one product of it
 presence rows with a (buckets x languages) matrix.
 
 Training rows are a bounded sample: at most ``per_language`` rows of each language,
-drawn by a seeded hash of the id among rows whose label is known. Texts are used
+drawn by a seeded hash of the id among rows whose label is known, of at most the
+``max_languages`` most common languages. Texts are used
 whole. A text that is null or holds no letter is ``und`` with score 0. Ties go to the
 language that sorts first. Without any training row everything is ``und``.
 """
@@ -45,7 +46,7 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
-def sample(docs: DataFrame, usable: Column, text: str, lang: str, doc_id: str, per_language: int, seed: int) -> DataFrame:
+def sample(docs: DataFrame, usable: Column, text: str, lang: str, doc_id: str, per_language: int, seed: int, max_languages: int = 200) -> DataFrame:
     """At most ``per_language`` labelled rows of each language: (lang, bits).
 
     Counts come first, so that a hash threshold keeps little more than the sample
@@ -53,8 +54,9 @@ def sample(docs: DataFrame, usable: Column, text: str, lang: str, doc_id: str, p
     """
     known = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = known.groupBy(F.col(lang).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.orderBy(F.col("_n").desc(), "_l").limit(max_languages)  # so the broadcast is bounded
     draw = unit_hash(seed, F.col(doc_id))
-    near = known.select(doc_id, F.col(lang).alias("_lang"), F.col(text).alias("_text"), draw.alias("_draw")).join(F.broadcast(counts.limit(1000)), F.col("_lang") == F.col("_l"))
+    near = known.select(doc_id, F.col(lang).alias("_lang"), F.col(text).alias("_text"), draw.alias("_draw")).join(F.broadcast(counts), F.col("_lang") == F.col("_l"))
     near = near.filter(F.col("_draw") * F.col("_n") < 2.0 * per_language + 20)
     first = F.row_number().over(Window.partitionBy("_lang").orderBy("_draw", doc_id, F.xxhash64("_text")))
     near = near.withColumn("_k", first).filter(F.col("_k") <= per_language).select("_lang", "_text", "_draw", "_k")
@@ -77,14 +79,22 @@ class Model:
     def __init__(self, languages: list[str], matrix: np.ndarray) -> None:
         self.languages, self.matrix = languages, matrix
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """One row of scores a text, in batches of presence rows times the matrix."""
-        out = np.zeros((len(texts), len(self.languages)))
-        for i, body in enumerate(texts):
-            ids = presence(body)
-            # A presence row is sparse ones, so its product is the sum of the rows it marks.
-            out[i] = self.matrix[ids].sum(axis=0, dtype=np.float64) / np.sqrt(max(1, len(ids)))
-        return out
+    def scores(self, texts: list[str], cells: int = 1 << 22) -> np.ndarray:
+        """One row of scores a text: batches of sparse presence rows times the matrix.
+
+        A presence row is ones at its ids, so the product of a batch is the segmented sum
+        of the matrix rows that its ids name; a batch holds about ``cells`` numbers."""
+        out, held, size = [np.zeros((0, len(self.languages)))], [], 0
+        for k, body in enumerate(texts):
+            held.append(presence(body))
+            size += len(held[-1])
+            if size * max(1, len(self.languages)) >= cells or k == len(texts) - 1:
+                lengths = np.array([len(ids) for ids in held])
+                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                product = np.add.reduceat(self.matrix[np.concatenate(held)], starts, axis=0, dtype=np.float64)
+                out.append(product / np.sqrt(lengths)[:, None])
+                held, size = [], 0
+        return np.concatenate(out)
 
 
 def fit(rows: list, landmarks: int = 192, ridge: float = 1e-2) -> Model:
@@ -129,10 +139,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "la
         m = Model(*shared.value)
         pred, score = ["und"] * len(bodies), np.zeros(len(bodies))
         at = [i for i, b in enumerate(bodies) if has_letter(b)] if m.languages else []
-        for lo in range(0, len(at), 256):
-            some = at[lo : lo + 256]
-            s = m.scores([bodies.iloc[i] for i in some])
-            for i, k, v in zip(some, s.argmax(axis=1), s.max(axis=1)):
+        if at:
+            s = m.scores([bodies.iloc[i] for i in at])
+            for i, k, v in zip(at, s.argmax(axis=1), s.max(axis=1)):
                 pred[i], score[i] = m.languages[k], min(1.0, max(0.0, (v + 1) / 2))
         return pd.DataFrame({"pred": pred, "score": score})
 
