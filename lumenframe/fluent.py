@@ -40,7 +40,7 @@ class Query:
 
     @staticmethod
     def of(source: DataFrame) -> Query:
-        return Query(QuerySpec(source))
+        return Query(QuerySpec(source, lenient=True))
 
     def _set(self, **changes) -> Query:
         return replace(self, spec=self.spec.with_(**changes))
@@ -99,7 +99,7 @@ class Query:
 
     # -- shape -----------------------------------------------------------
     def select(self, *fields: str) -> Query:
-        """Output fields in order, repeats dropped. Unknown names raise when the query runs."""
+        """Output fields in order, repeats dropped. Unknown names are ignored with a warning."""
         have = {o.name for o in self.spec.outputs}
         new = [Output(f, f) for f in dict.fromkeys(fields) if f not in have]
         return self._set(outputs=(*self.spec.outputs, *new))

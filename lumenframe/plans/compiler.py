@@ -130,6 +130,17 @@ def _where(df: DataFrame, cond: Condition) -> DataFrame:
     return df.select(*[col(c) for c in columns]) if n else df
 
 
+def _known(spec: QuerySpec, names: list[str], columns: list[str], clause: str, ignore_case: bool = False) -> list[str | None]:
+    """The column of every name. An unknown one raises, or is None where the plan is lenient."""
+    out = [find(n, columns, ignore_case) for n in names]
+    for n, c in zip(names, out):
+        if c is None:
+            if not spec.lenient:
+                raise unknown_field(n, [k for k in columns if k != ROW_ID], clause)
+            warnings.warn(f"Unknown field '{n}' in {clause} is ignored", stacklevel=3)
+    return out
+
+
 def _needed(spec: QuerySpec) -> set[str] | None:
     """Fields that anything behind distinct reads; None where that is every field."""
     if not spec.outputs and not spec.metrics:
@@ -184,7 +195,9 @@ def compile_query(spec: QuerySpec, hook: StageHook | None = None, project: bool
     if spec.metrics:
         if spec.windows:
             raise QueryError("aggregation", "an aggregate query cannot have window functions")
-        df = seen("aggregate", aggregate(df, spec.groups, spec.metrics, spec.compat, ROW_ID if ROW_ID in df.columns else None))
+        known = _known(spec, [g.field for g in spec.groups], df.columns, "GROUP BY")
+        groups = tuple(g for g, c in zip(spec.groups, known) if c)
+        df = seen("aggregate", aggregate(df, groups, spec.metrics, spec.compat, ROW_ID if ROW_ID in df.columns else None))
         if not spec.having.empty:
             test = condition(spec.having, df.schema, "HAVING")
             df = seen("having", df if test is None else df.filter(test))
@@ -200,12 +213,10 @@ def compile_query(spec: QuerySpec, hook: StageHook | None = None, project: bool
     elif not spec.qualify.empty:
         raise QueryError("aggregation", "QUALIFY needs a window function")
     if spec.orders and spec.sort:
-        names = [find(o, df.columns, ignore_case=True) for o in spec.orders]
-        if None in names:
-            raise unknown_field(spec.orders[names.index(None)], [c for c in df.columns if c != ROW_ID], "ORDER BY")
+        names = [n for n in _known(spec, list(spec.orders), df.columns, "ORDER BY", ignore_case=True) if n]
         keys = [col(n).asc_nulls_first() if spec.sort is Sort.ASC else col(n).desc_nulls_last() for n in names]
-        df = df.orderBy(*keys, *([F.col(ROW_ID)] if ROW_ID in df.columns else []))
-        df = seen("order", df)
+        if keys:
+            df = seen("order", df.orderBy(*keys, *([F.col(ROW_ID)] if ROW_ID in df.columns else [])))
     if spec.offset:
         df = df.offset(spec.offset)
     if spec.limit is not None:
@@ -214,11 +225,14 @@ def compile_query(spec: QuerySpec, hook: StageHook | None = None, project: bool
 
 
 def _project(df: DataFrame, spec: QuerySpec) -> DataFrame:
-    if not spec.outputs:
+    plain = [o for o in spec.outputs if not o.expression]
+    lost = {o.source for o, c in zip(plain, _known(spec, [o.source for o in plain], df.columns, "SELECT")) if c is None}
+    outputs = [o for o in spec.outputs if o.expression or o.source not in lost]
+    if not outputs:
         hidden = {ROW_ID, *(m.alias for m in spec.metrics if m.hidden)}
         return df.select(*[col(c) for c in df.columns if c not in hidden]) if hidden & set(df.columns) else df
     out = []
-    for o in spec.outputs:
+    for o in outputs:
         if o.bucket and not spec.metrics:
             out.append(bucket_label(col(o.source), o.bucket).alias(o.name))
         elif o.expression:
@@ -229,8 +243,6 @@ def _project(df: DataFrame, spec: QuerySpec) -> DataFrame:
                 return col(name)
 
             out.append(compile_expression(o.source, resolve, spec.strict_numbers).alias(o.name))
-        elif o.source in df.columns:
-            out.append(col(o.source).alias(o.name))
         else:
-            raise unknown_field(o.source, [c for c in df.columns if c != ROW_ID], "SELECT")
+            out.append(col(o.source).alias(o.name))
     return df.select(*out)

@@ -188,6 +188,7 @@ class QuerySpec:
     index_hints: tuple[str, ...] = ()
     compat: bool = False
     strict_numbers: bool = False
+    lenient: bool = False  # unknown group, order and output fields are ignored with a warning
 
     def with_(self, **changes) -> QuerySpec:
         return replace(self, **changes)

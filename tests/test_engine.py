@@ -160,12 +160,23 @@ def test_order_and_paging(employees):
     assert [r["id"] for r in q.limit(2).offset(1).rows(Sort.ASC).collect()] == [4, 1]
     assert Query.of(employees).limit(0).rows().count() == 0
     assert q.rows().count() == 4  # without a direction nothing sorts
-    with pytest.raises(QueryError):
-        Query.of(employees).order("nope").rows(Sort.ASC)
     with pytest.raises(ValueError):
         q.limit(-1)
 
 
+def test_unknown_fluent_fields_are_ignored(employees):
+    q = Query.of(employees)
+    with pytest.warns(UserWarning, match="nope"):
+        assert q.order("nope").select("id", "nope").rows(Sort.ASC).columns == ["id"]
+    with pytest.warns(UserWarning, match="nope"):
+        assert q.select("nope").rows().columns == employees.columns
+    with pytest.warns(UserWarning, match="nope"):
+        assert_rows(q.group("nope").group("department").count("n").rows(), [("Engineering", 3), ("Finance", 1)])
+    assert ids(q.distinct("nope").rows()) == [1, 2, 3, 4]
+    with pytest.raises(QueryError):
+        parse("select id order by nope").rows(employees)
+
+
 def test_places_of_keys(employees):
     q = Query.of(employees).order("id").order("department", at=0)
     assert q.spec.orders == ("department", "id")
