@@ -67,6 +67,27 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def replace_spans(body: Column, spans: Column, mask: str, block: int = 2048) -> Column:
+    """``body`` with the spans (array of struct(start, stop) in code points, by start and
+    without overlaps; not empty) replaced by ``mask``.
+
+    Places in a text are found by walking it, so pieces are cut from blocks instead: the
+    work stays near the text's length however many spans there are."""
+    place = lambda c: F.floor(c / block).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), place(F.length(body))), lambda b: F.substring(body, b * block + 1, F.lit(block)))
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["stop"])
+
+    def put_together(held: Column) -> Column:
+        def cut(start: Column, stop: Column) -> Column:
+            near = F.array_join(F.slice(held, place(start) + 1, place(stop) - place(start) + 1), "")
+            return F.substring(near, start - place(start) * block + 1, stop - start)
+
+        pieces = F.transform(spans, lambda s, i: F.concat(cut(before(i), s["start"]), F.lit(mask)))
+        return F.array_join(F.concat(pieces, F.array(cut(F.element_at(spans, -1)["stop"], F.length(body)))), "")
+
+    return F.get(F.transform(F.array(blocks), put_together), F.lit(0))  # the blocks are made once
+
+
 def unit_hash(seed: int, *cols: Column) -> Column:
     """Seeded hash of the columns as a double in [0, 1)."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11)

@@ -14,6 +14,7 @@ documents of their own. Extra columns are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +26,34 @@ from pyspark.sql.window import Window
 from .common import materialise
 
 WINDOW = 2048
+LONG_SPACE = re.compile(r"\s{10000}")
 
 
-def load_encoding(rank_file: str | None = None):
-    """Byte-level BPE by merge ranks: the ids that the tokenizer file of that name gives."""
-    import public_tokenizers as names
-    import tiktoken
+class Coder:
+    """Byte-level BPE by merge ranks: the ids that the tokenizer file of that name gives.
 
-    with open(rank_file or names.path("byte_bpe_50k.tiktoken"), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=names.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    The fast coder gives up on white space of some hundred thousand characters in a row;
+    such a text goes to the tokenizer file itself, which is loaded only then.
+    """
+
+    def __init__(self, rank_file: str | None = None, tokenizer_file: str | None = None) -> None:
+        import public_tokenizers as names
+        import tiktoken
+
+        with open(rank_file or names.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.fast = tiktoken.Encoding("byte_bpe", pat_str=names.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.file, self.slow = tokenizer_file or names.path("byte_bpe_50k.json"), None
+
+    def encode(self, text: str) -> list[int]:
+        if not LONG_SPACE.search(text):
+            return self.fast.encode_ordinary(text)
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.file)
+            self.slow.encode_special_tokens = True  # their strings are ordinary text
+        return self.slow.encode(text, add_special_tokens=False).ids
 
 
 class OpenWindows:
@@ -107,21 +126,21 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, int, i
     return moves
 
 
-def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, end_id: int = 1, rank_file: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, end_id: int = 1, rank_file: str | None = None, tokenizer_file: str | None = None) -> DataFrame:
     """Pieces of every document: doc_id, start, length, doc_tokens, ids (little-endian
     unsigned 32-bit), and for ranking: part (task) and nth (rank within it)."""
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length int, doc_tokens long, ids binary, part int, nth long"
 
     def cut(batches):
-        coder = load_encoding(rank_file)
+        coder = Coder(rank_file, tokenizer_file)
         part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, dtype=np.int64)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "ids", "part", "nth")}
             held = 0
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 body = body.as_py()
-                ids = np.append(np.asarray(coder.encode_ordinary(body or ""), dtype="<u4"), np.uint32(end_id)).astype("<u4")
+                ids = np.append(np.asarray(coder.encode(body or ""), dtype="<u4"), np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
                     out["doc_id"].append(key)
@@ -146,10 +165,13 @@ def _batch(out: dict[str, list], key_type) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in out.items()})
 
 
-def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, end_id: int = 1, rank_file: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, ids, sequence_id, offset."""
+def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, end_id: int = 1, rank_file: str | None = None, tokenizer_file: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, doc_tokens, ids, ids_crc32, sequence_id, offset.
+
+    Whoever leaves ``ids`` out of the result keeps them out of the scan and the join too.
+    """
     spark = docs.sparkSession
-    cut = materialise(pieces(docs, text, doc_id, window, end_id, rank_file), "pieces")
+    cut = materialise(pieces(docs, text, doc_id, window, end_id, rank_file, tokenizer_file).withColumn("ids_crc32", F.crc32("ids")), "pieces")
     by_part = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     base = materialise(by_part.withColumn("before", before), "ranks")
@@ -169,4 +191,15 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: in
         return pd.DataFrame({"sequence_id": table[at, 3] + rank.to_numpy() - table[at, 1], "offset": table[at, 4]})
 
     placed = ranked.withColumn("p", place("length", "rank"))
-    return placed.select("doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", "ids", F.col("p.sequence_id"), F.col("p.offset").alias("offset"))
+    return placed.select("doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", "ids", "ids_crc32", F.col("p.sequence_id"), F.col("p.offset").alias("offset"))
+
+
+def assemble(packed: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
+    """The sequences: sequence_id, used, ids (padded to the window, except where ``used``
+    is a power of two) and doc_ids in order. A group is one window at most."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids", "length")))
+    rows = packed.groupBy("sequence_id").agg(F.sum("length").alias("used"), parts.alias("parts"))
+    joined = F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p["ids"]))
+    whole = F.bit_count("used") == 1
+    pad = F.unhex(F.repeat(F.lit(pad_id.to_bytes(4, "little").hex()), F.when(whole, 0).otherwise(F.lit(window) - F.col("used")).cast("int")))
+    return rows.select("sequence_id", "used", F.concat(joined, pad).alias("ids"), F.col("parts.doc_id").alias("doc_ids"))

@@ -43,7 +43,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunks.repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
-    return out.select("doc_id", "n_chunks", "n_repeated", total("repeated").alias("repeated_chars"), total("removable").alias("removable_chars"), said("repeated").alias("repeated_spans"), said("removable").alias("removable_spans"))
+    return out.select("doc_id", (F.size("repeated") > 0).alias("has_repeats"), "n_chunks", "n_repeated", total("repeated").alias("repeated_chars"), total("removable").alias("removable_chars"), said("repeated").alias("repeated_spans"), said("removable").alias("removable_spans"))
 
 
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
