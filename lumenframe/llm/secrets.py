@@ -13,8 +13,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialise, packed, unpacked
+from .common import materialise, packed, replace_spans, unpacked
 
 # The base kinds, in the order in which they are listed.
 # name: (pattern, group holding the value, least length of that group)
@@ -29,32 +30,23 @@ ADDED = {
     "pem": (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 10),
 }
 KINDS = [*BASE, *ADDED]
-_SPAN = "struct<start:int,rank:int,kind:string,stop:int,value:bigint>"
 
 
-def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Array of spans of one kind: leftmost non-overlapping matches, short ones dropped."""
+def _matches(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
+    """Array of the leftmost non-overlapping matches of one kind: the characters between
+    the match before and this one, its own, and its value."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gap = F.split(text, pattern, -1)
-    parts = F.arrays_zip(
-        F.transform(F.slice(gap, F.lit(1), F.size(whole)), F.length).alias("gap"),
-        F.transform(whole, F.length).alias("len"),
-        value.alias("value"),
-    )
-
-    def step(acc: Column, part: Column) -> Column:
-        start = acc["at"] + part["gap"]
-        stop = start + part["len"]
-        span = F.struct(
-            start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), stop.alias("stop"),
-            F.xxhash64(part["value"]).alias("value"),
-        )
-        kept = F.when(F.length(part["value"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(stop.alias("at"), kept.alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, zero, step)["out"]).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    gap = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
+    parts = F.transform(
+        F.arrays_zip(gap.alias("gap"), whole.alias("whole"), value.alias("value")),
+        lambda p, i: F.struct(
+            F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), i.alias("place"), F.length(p["gap"]).alias("gap"), F.length(p["whole"]).alias("len"),
+            F.when(F.length(p["value"]) >= least, F.xxhash64(p["value"])).alias("value"),
+        ),
+    )
+    none = F.array().cast("array<struct<rank:int,kind:string,place:int,gap:int,len:int,value:bigint>>")
+    return F.when(text.rlike(pattern), parts).otherwise(none)
 
 
 def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository: str | None = "lang", keep: tuple[str, ...] = ("doc_id",), example_owners: int = 3) -> DataFrame:
@@ -66,16 +58,21 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository:
     value. A repository is an owner's folder: (owner, ``repository`` column).
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    arrays = [_spans(body, i, k, *(BASE | ADDED)[k]) for i, k in enumerate(KINDS)]
+    arrays = [_matches(body, i, k, *(BASE | ADDED)[k]) for i, k in enumerate(KINDS)]
     rows = docs.select(
         *keep,
         F.xxhash64(body).alias("text_hash"),
         F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner"),
         F.coalesce((F.col(repository) if repository else F.lit("")).cast("string"), F.lit("")).alias("_repository"),
-        F.concat(*arrays).alias("_spans"),
+        F.concat(*arrays).alias("_matches"),
     )
-    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "spans")
-    each = rows.filter(F.size("_spans") > 0).select("_row", "_owner", "_repository", F.explode("_spans").alias("s"))
+    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "matches")
+    each = rows.filter(F.size("_matches") > 0).select("_row", "_owner", "_repository", F.inline("_matches"))
+    # A match ends where the gaps and matches up to it end; only then are short values dropped.
+    along = Window.partitionBy("_row", "rank").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("stop", F.sum(F.col("gap") + F.col("len")).over(along).cast("int")).filter("value is not null")
+    span = F.struct((F.col("stop") - F.col("len")).alias("start"), "rank", "kind", "stop", "value")
+    each = materialise(each.select("_row", "_owner", "_repository", span.alias("s")), "spans")
     held = each.groupBy(F.col("s.value").alias("value"), "_owner", "_repository").agg(F.count(F.lit(1)).alias("n"))
     owners = held.groupBy("value", "_owner").agg(F.count(F.lit(1)).alias("r"))
     spread = owners.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("r").alias("n_repositories"))
@@ -104,22 +101,16 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repositor
     live spans meet the join's right side; the others pass unchanged.
     """
     hits = scan(docs, text, owner, repository, (doc_id,), example_owners)
-    hits = hits.select(
-        F.col(doc_id).alias("_id"), F.col("text_hash").alias("_hash"),
-        F.transform(F.filter("found", lambda s: s["live"]), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias("_live"),
-    ).filter(F.size("_live") > 0).dropDuplicates(["_id", "_hash"])
+    hits = hits.filter(F.exists("found", lambda s: s["live"])).dropDuplicates([doc_id, "text_hash"])
+    live = hits.select(F.col(doc_id).alias("_id"), F.col("text_hash").alias("_hash"), F.explode("found").alias("s")).filter("s.live").select("_id", "_hash", "s.start", "s.stop")
+    along = Window.partitionBy("_id", "_hash").orderBy("start", "stop")
+    reached = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = (reached.isNull() | (F.col("start") >= reached)).cast("int")
+    live = live.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = live.groupBy("_id", "_hash", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    hits = runs.groupBy("_id", "_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_live"))
     hits = materialise(hits, "live")
-    body = F.col("body")
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(F.substring(body, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mask))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("_live", zero, step)
-    rest = F.substring(body, done["at"] + 1, F.length(body))
     rows = packed(docs, id=F.col(doc_id), body=F.col(text), hash=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     rows = rows.join(hits, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
-    new = F.when(F.col("_live").isNull(), body).otherwise(F.concat(done["out"], rest))
+    new = F.when(F.col("_live").isNull(), F.col("body")).otherwise(replace_spans(F.col("body"), F.col("_live"), mask))
     return rows.select(*unpacked(rows, docs.columns, **{text: new}))
