@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, packed, replace_spans, unpacked
 
 GEAR_SEED = 20240501
 
@@ -112,3 +112,16 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
     out = rows.join(by_doc, "row", "left").withColumn("s", spans("hits", "stops", "words"))
     return out.select("doc_id", F.size("digests").cast("long").alias("n_chunks"), "s.n_repeated", "s.repeated", "s.removable")
+
+
+def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with the removable passages cut out of ``text``; the first occurrence of
+    every passage stays. Rows that repeat whole are cut alike, so that one keeps its text."""
+    rows = packed(docs, id=F.col(doc_id), body=F.col(text), hash=F.xxhash64(text))
+    found = repeated_passages(rows.select(F.struct("id", "hash").alias("key"), "body"), "body", "key", **options)
+    # Of rows that repeat whole only the first occurrence counts; the least cut is taken for all.
+    spans = found.groupBy("doc_id").agg(F.min_by("removable", F.size("removable")).alias("spans")).filter(F.size("spans") > 0)
+    spans = spans.select(F.col("doc_id.id").alias("span_id"), F.col("doc_id.hash").alias("span_hash"), "spans")
+    rows = rows.join(spans, F.col("id").eqNullSafe(F.col("span_id")) & (F.col("hash") == F.col("span_hash")), "left")
+    new = F.when(F.col("spans").isNull(), F.col("body")).otherwise(replace_spans(F.col("body"), F.col("spans"), ""))
+    return rows.select(*unpacked(rows, docs.columns, **{text: new}))

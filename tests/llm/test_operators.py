@@ -63,6 +63,21 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 3, 7, 2048])
+def test_replaced_spans(spark, block):
+    rng, rows = random.Random(block), []
+    for i in range(25):
+        text = "".join(rng.choice("abé😀 ") for _ in range(rng.randint(1, 40)))
+        marks = sorted(rng.randint(0, len(text)) for _ in range(2 * rng.randint(1, 5)))
+        rows.append((text, [{"start": a, "stop": b} for a, b in zip(marks[::2], marks[1::2])]))
+    df = spark.createDataFrame(rows, "t string, s array<struct<start:int,stop:int>>")
+    for r in df.withColumn("out", common.replace_spans(F.col("t"), F.col("s"), "#", block)).collect():
+        want, at = "", 0
+        for x in r["s"]:
+            want, at = want + r["t"][at : x["start"]] + "#", x["stop"]
+        assert r["out"] == want + r["t"][at:]
+
+
 def test_written_tables(spark):
     df = common.materialise(spark.range(5), "t")
     assert df.count() == 5
@@ -371,18 +386,27 @@ def test_pack_round_trip(spark, docs, empty):
     assert packing.pack(empty).collect() == []
 
 
+def test_assembled_sequences(spark, docs):
+    rows = packing.assemble(packing.pack(docs, window=256), window=256, pad_id=7).collect()
+    for r in rows:
+        ids = np.frombuffer(bytes(r["ids"]), dtype="<u4")
+        whole = bin(r["used"]).count("1") == 1
+        assert len(ids) == (r["used"] if whole else 256) and (ids[r["used"] :] == 7).all() and r["doc_ids"]
+    assert sum(r["used"] for r in rows) == sum(p["length"] for p in packing.pack(docs, window=256).collect())
+
+
 def test_rank_file_gives_the_tokenizer_ids():
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    coder = packing.load_encoding()
+    coder = packing.Coder()
     rng = random.Random(1)
-    texts = ["", " ", "\n\n \t x", "<|endoftext|> a", "don't I'll 123,456 é😀漢字​  end  ", "a" * 5000, "\u0000�", " " * 300]
+    texts = ["", " ", "\n\n \t x", "<|endoftext|> a", "don't I'll 123,456 é😀漢字​  end  ", "a" * 5000, "\u0000�", " " * 300, " x" + " \n" * 300_000 + "<|endoftext|>", "\n" * 9_990]
     texts += ["".join(chr(rng.choice([rng.randint(32, 126), rng.randint(160, 1000), rng.randint(0x4E00, 0x4F00), 10, 32])) for _ in range(200)) for _ in range(60)]
     for x in texts:
-        assert coder.encode_ordinary(x) == t.encode(x, add_special_tokens=False).ids, x
+        assert coder.encode(x) == t.encode(x, add_special_tokens=False).ids, x
 
 
 # -- 7 licenses ------------------------------------------------------------
@@ -518,6 +542,18 @@ def test_repeated_passages(spark, empty):
     assert chunks.repeated_passages(empty).collect() == []
 
 
+def test_passages_are_cut_once(spark, empty):
+    rng = random.Random(9)
+    passage, rows = make_text(rng, 80), []
+    for i in range(6):
+        rows.append((i, f"{make_text(rng, 30)} {passage} {make_text(rng, 30)}", "en", "s", 0))
+    rows += [(50, make_text(rng, 40), "en", "s", 0), (51, None, "en", "s", 0)]
+    out = {r["doc_id"]: r["text"] for r in chunks.without_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out[0] == rows[0][1] and out[50] == rows[6][1] and out[51] is None
+    assert all(len(out[i]) < len(rows[i][1]) - len(passage) / 2 for i in range(1, 6))
+    assert chunks.without_repeats(empty).collect() == []
+
+
 # -- 10 top-k --------------------------------------------------------------
 @pytest.mark.parametrize("shard_rows, block", [(8192, 2048), (40, 3)])
 def test_top_k(spark, shard_rows, block):
