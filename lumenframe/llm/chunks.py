@@ -72,13 +72,15 @@ def chunk_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(work, f"doc_id {kind}, digests array<long>, stops array<int>, words array<int>")
 
 
-def _passages(at: np.ndarray, stops: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """Spans of runs of consecutive chunk numbers that hold enough words."""
-    spans = []
+def _passages(at: np.ndarray, stops: np.ndarray, words: np.ndarray, min_words: int) -> tuple[list[dict], int]:
+    """Spans of the runs of consecutive chunk numbers that hold enough words, and the
+    number of chunks in them."""
+    spans, held = [], 0
     for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []:
         if words[run].sum() >= min_words:
-            spans.append((int(stops[run[0] - 1]) if run[0] else 0, int(stops[run[-1]])))
-    return spans
+            spans.append({"start": int(stops[run[0] - 1]) if run[0] else 0, "stop": int(stops[run[-1]])})
+            held += len(run)
+    return spans, held
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 24, least: int = 12, most: int = 128) -> DataFrame:
@@ -105,9 +107,8 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
             s, w = np.asarray(s), np.asarray(w)
             place = np.array([x["place"] for x in h], dtype=np.int64)
             later = np.array([x["later"] for x in h], dtype=bool)
-            found = _passages(place, s, w, min_words)
-            n = sum(1 for p in place if any(a < s[p] <= b for a, b in found)) if len(found) < 4 else int(sum(((s[place] > a) & (s[place] <= b)).sum() for a, b in found))
-            out.append((n, *[[{"start": a, "stop": b} for a, b in v] for v in (found, _passages(place[later], s, w, min_words))]))
+            found, held = _passages(place, s, w, min_words)
+            out.append((held, found, _passages(place[later], s, w, min_words)[0]))
         return pd.DataFrame(out, columns=["n_repeated", "repeated", "removable"])
 
     out = rows.join(by_doc, "row", "left").withColumn("s", spans("hits", "stops", "words"))
