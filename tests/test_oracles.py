@@ -28,3 +28,19 @@ def test_matches_sql(spark, duck, name):
     order = sorted(columns)
     want = sorted(repr(tuple(dict(zip(columns, r))[c] for c in order)) for r in cur.fetchall())
     assert sorted(repr(tuple(r[c] for c in order)) for r in df.collect()) == want
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    out = entry.entry(spark)
+    assert out.count() > 0 and out.columns == ["l_returnflag", "l_linestatus", "sum_qty", "sum_price", "avg_disc", "n"]
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.oracle_sql())
+
+
+def test_readme_example(spark):
+    text = (Path(__file__).parent.parent / "README.md").read_text()
+    code = text.split("```python\n")[1].split("```")[0]
+    names = {n: spark.read.parquet(str(DATA / f"{n}.parquet")) for n in ("orders", "customer", "nation")}
+    exec(code.replace(".show()", ".collect()"), names)  # noqa: S102
+    assert [r["o_orderstatus"] for r in names["q"].rows(names["Sort"].DESC).collect()]
