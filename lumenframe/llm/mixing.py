@@ -172,16 +172,17 @@ def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """The mixture itself: ``docs`` rows once per whole copy, then one row with the picked words.
 
     A document's picked blocks are joined by a space and ``length`` is set anew;
-    documents that the mix leaves out are absent. Other columns are copied.
+    documents that the mix leaves out are absent. Other columns are copied. Rows with one
+    id and text are one document that the mix may take more often: their other columns
+    come from one of them. The id is a number.
     """
     plan = mix(docs.select(F.col(doc_id), F.col(text), F.col(source), F.xxhash64(text).alias("text_hash")), text, doc_id, source, keep=("text_hash",), **options)
-    # Rows that repeat (same id, same text) are paired by their order, so each keeps its own plan.
+    # Plain keys that cannot be null: the repeated rows and the join then share one shuffle of the texts.
+    key = lambda i, h: {"id": F.coalesce(i, F.lit(0)), "void": i.isNull(), "hash": h}
     plan = materialise(plan.filter("taken > 0"), "mix")
-    nth = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(F.lit(1)))
-    plan = plan.select(F.col("doc_id").alias("plan_id"), F.col("text_hash").alias("plan_hash"), "copies", "picks").withColumn("plan_nth", nth("plan_id", "plan_hash"))
-    rows = packed(docs, id=F.col(doc_id), body=F.col(text), hash=F.xxhash64(text))
-    rows = rows.withColumn("nth", nth("id", "hash"))
-    rows = rows.join(plan, F.col("id").eqNullSafe(F.col("plan_id")) & (F.col("hash") == F.col("plan_hash")) & (F.col("nth") == F.col("plan_nth")))
+    plan = plan.select(*[c.alias(n) for n, c in key(F.col("doc_id"), F.col("text_hash")).items()], "copies", "picks")
+    rows = packed(docs, body=F.col(text), **key(F.col(doc_id), F.xxhash64(text)))
+    rows = rows.dropDuplicates(["id", "void", "hash"]).join(plan, ["id", "void", "hash"])
     words = F.regexp_extract_all("body", F.lit(WORD), F.lit(0))
     some = F.array_join(F.flatten(F.transform("picks", lambda p: F.slice(words, (p["start"] + 1).cast("int"), (p["stop"] - p["start"]).cast("int")))), " ")
     versions = F.concat(F.array_repeat("body", F.col("copies").cast("int")), F.when(F.size("picks") > 0, F.array(some)).otherwise(F.array().cast("array<string>")))
