@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, packed, replace_spans, unpacked
+from .common import materialise, packed, replace_spans, small_batches, unpacked
 
 GEAR_SEED = 20240501
 
@@ -69,7 +69,7 @@ def chunk_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
             arrays = [pa.array(v, pa.list_(t)) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "digests", "stops", "words"])
 
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(work, f"doc_id {kind}, digests array<long>, stops array<int>, words array<int>")
+    return small_batches(docs).select(F.col(doc_id), F.col(text)).mapInArrow(work, f"doc_id {kind}, digests array<long>, stops array<int>, words array<int>")
 
 
 def _passages(at: np.ndarray, stops: np.ndarray, words: np.ndarray, min_words: int) -> tuple[list[dict], int]:

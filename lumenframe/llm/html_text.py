@@ -21,6 +21,8 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # HTML elements by role in a page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 CONTAINERS = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form header hgroup html main menu nav ol pre section table ul".split())
@@ -193,4 +195,4 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
         return bodies.map(main_text, na_action=None)
 
     kept = [c for c in pages.columns if c not in (html, out)]
-    return pages.select(*kept, text(F.col(html)).alias(out))
+    return small_batches(pages).select(*kept, text(F.col(html)).alias(out))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import packed, unit_hash, unpacked
+from .common import packed, small_batches, unit_hash, unpacked
 
 BITS = 16
 ORDERS = (1, 2, 3, 4)
@@ -70,7 +70,7 @@ def sample(docs: DataFrame, usable: Column, text: str, lang: str, doc_id: str, p
                 [batch.column(0), pa.array([np.packbits(r).tobytes() for r in rows], pa.binary()), batch.column(2), batch.column(3)], ["lang", "bits", "draw", "k"]
             )
 
-    return near.mapInArrow(pack, "lang string, bits binary, draw double, k int")
+    return small_batches(near).mapInArrow(pack, "lang string, bits binary, draw double, k int")
 
 
 class Model:
@@ -146,6 +146,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "la
         return pd.DataFrame({"pred": pred, "score": score})
 
     new = (prefix + "pred", prefix + "score")
-    rows = packed(docs, p=label(F.col(text)))
+    rows = packed(small_batches(docs), p=label(F.col(text)))
     kept = [c for c in docs.columns if c not in new]
     return rows.select(*unpacked(rows, kept), F.col("p.pred").alias(new[0]), F.col("p.score").alias(new[1]))

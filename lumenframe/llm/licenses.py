@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Public licence notices.
 TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
@@ -149,4 +151,4 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates:
     def matches(bodies):
         return pd.Series([[dict(zip(("license", "coverage", "start", "stop"), m)) for m in scanner.find(b)] for b in bodies])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), matches(F.col(text)).alias("matches"))
+    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), matches(F.col(text)).alias("matches"))

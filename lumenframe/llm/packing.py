@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, small_batches
 
 WINDOW = 2048
 LONG_SPACE = re.compile(r"\s{10000}")
@@ -157,7 +157,7 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
                     out, held = {k: [] for k in out}, 0
             yield _batch(out, batch.schema.field(0).type)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
+    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
 
 
 def _batch(out: dict[str, list], key_type) -> pa.RecordBatch:

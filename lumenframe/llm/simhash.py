@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import components, materialise, small_batches
 
 SEED = 42
 
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             fp = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(doc_id), F.col(text), F.xxhash64(text)).mapInArrow(work, f"doc_id {kind}, text_hash long, fp long")
+    return small_batches(docs).select(F.col(doc_id), F.col(text), F.xxhash64(text)).mapInArrow(work, f"doc_id {kind}, text_hash long, fp long")
 
 
 def bit_moments(fps: DataFrame) -> tuple[int, np.ndarray]:

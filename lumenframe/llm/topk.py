@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, small_batches
 
 
 def scaled(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -43,7 +43,7 @@ def scaled(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataF
                     out.append(np.floor(scale * x).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], ["vec_id", "dim", "v"])
 
-    return vectors.select(F.col(vec_id).cast("long"), F.col(embedding)).mapInArrow(work, "vec_id long, dim int, v binary")
+    return small_batches(vectors).select(F.col(vec_id).cast("long"), F.col(embedding)).mapInArrow(work, "vec_id long, dim int, v binary")
 
 
 class BallTree:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, discard, materialise
+from .common import components, discard, materialise, small_batches
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
@@ -46,7 +46,7 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataF
                 out.append((x + 0.0).tobytes() if size > 0 and np.isfinite(size) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["vec_id", "label", "v"])
 
-    return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding), F.col(label)).mapInArrow(work, f"vec_id long, label {label_type}, v binary")
+    return small_batches(vectors).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding), F.col(label)).mapInArrow(work, f"vec_id long, label {label_type}, v binary")
 
 
 def _unit(blobs) -> np.ndarray:
