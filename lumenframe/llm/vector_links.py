@@ -5,13 +5,13 @@ the first lists: a tree's leaf is a bounded block of vectors on the same side of
 plane, scored by one matrix product. Rounds of NN-descent then join each vector's
 neighbours (both directions, in bounded blocks) with each other and keep the best.
 Neighbours below ``explore`` cannot lead to a link within reach and are not kept.
-A list whose last entry is still a link is saturated and is enlarged. Recall is
-audited by scoring a bounded seeded sample against all rows; more trees follow while it
-is below ``recall``.
+A list whose last entry is still a link is saturated and is enlarged.
 
-Links (cosine >= threshold) give components. A group of mutual copies has more links
-than any list: the links inside every component are counted exactly, block against
-block, without listing pairs. Equal vectors are one row with a count from the start.
+Lists can miss links (cosine >= threshold), so an exact pass ends the work: the vectors
+of a label lie in blocks, by the planes of one tree, and every two blocks whose centres
+and radii leave room for a link are multiplied. It counts the links of each vector and
+joins components that the lists left apart, without listing pairs of vectors. Equal
+vectors are one row with a count from the start.
 
 Null, zero and non-finite vectors, and rows with a null label, link with nothing and
 are their own component. Repeated rows count as other vectors. Extra columns are ignored.
@@ -168,96 +168,116 @@ def neighbour_graph(reps: DataFrame, threshold: float, start: int = 8, largest:
     return graph
 
 
-def audit(reps: DataFrame, edges: DataFrame, threshold: float, rows: int = 256, seed: int = 29) -> float:
-    """Share of the true links of a bounded seeded sample that connect equal components.
+def _with_reach(batches):
+    """Blocks with their centre (null for vectors of several lengths) and the widest angle to it."""
+    for batch in batches:
+        centres, reaches = [], []
+        for vs in batch.column(batch.schema.get_field_index("vs")):
+            blobs, centre, reach = vs.as_py(), None, math.pi
+            if len({len(b) for b in blobs}) == 1:
+                x = _unit(blobs)
+                mean = x.sum(axis=0)
+                size = np.sqrt(mean @ mean)
+                if size > 0:
+                    mean /= size
+                    centre, reach = mean.tolist(), float(np.arccos(np.clip((x @ mean).min(), -1, 1)))
+            centres.append(centre)
+            reaches.append(reach)
+        arrays = [*batch.columns, pa.array(centres, pa.list_(pa.float64())), pa.array(reaches, pa.float64())]
+        yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "centre", "reach"])
+
+
+def vector_blocks(classes: DataFrame, block: int, seed: int = 17) -> DataFrame:
+    """Blocks of about ``block`` vectors of one label, each on one side of a tree's planes."""
+    reps = classes.select(F.col("class").alias("vec_id"), "group", "v")
+    sizes = materialise(reps.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    leaves = materialise(tree_leaves(reps, sizes, range(1), block, seed), "leaves")
+    full = leaves.groupBy("group", "code").agg(F.count(F.lit(1)).alias("n"))
+    part = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.ceil(F.col("n") / (2 * block)).cast("long"))
+    dealt = leaves.join(full, ["group", "code"]).withColumn("part", part)
+    dealt = dealt.join(classes.select(F.col("class").alias("vec_id"), "copies", "component"), "vec_id")
+    lists = [F.collect_list(c).alias(n) for c, n in (("vec_id", "ids"), ("v", "vs"), ("copies", "ws"), ("component", "cs"))]
+    blocks = dealt.groupBy("group", "code", "part").agg(*lists).select("group", "ids", "vs", "ws", "cs")
+    schema = "group long, ids array<long>, vs array<binary>, ws array<long>, cs array<long>, centre array<double>, reach double"
+    out = materialise(blocks.mapInArrow(_with_reach, schema).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    discard(leaves)
+    return out
 
-    The sample (at most ``rows`` vectors) is scored against all rows in blocks.
-    """
-    sample = reps.orderBy(F.xxhash64(F.lit(seed), "vec_id")).limit(rows).select("vec_id", "group", "v").collect()
-    if not sample:
-        return 1.0
-    shared = reps.sparkSession.sparkContext.broadcast([(r["vec_id"], r["group"], bytes(r["v"])) for r in sample])
 
-    def work(batches):
-        probe = shared.value
-        for batch in batches:
-            ids, groups, blobs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            a, b = [], []
-            for at in _by_length(blobs):
-                x, length = _unit([blobs[i] for i in at]), len(blobs[at[0]])
-                mine = [p for p in probe if len(p[2]) == length]
-                if mine:
-                    sim = _unit([p[2] for p in mine]) @ x.T
-                    same = np.array([p[1] for p in mine])[:, None] == groups[at][None, :]
-                    for i, j in np.argwhere((sim >= threshold) & same):
-                        if mine[i][0] != ids[at[j]]:
-                            a.append(mine[i][0])
-                            b.append(int(ids[at[j]]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    true = reps.select("vec_id", "group", "v").mapInArrow(work, "a long, b long")
-    left = edges.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = edges.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    row = true.join(left, "a", "left").join(right, "b", "left").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("ca") == F.col("cb")).cast("long")).alias("hit")).first()
-    return 1.0 if not row.n else (row.hit or 0) / row.n
+def block_pairs(blocks: DataFrame, threshold: float, deal: int = 16) -> DataFrame:
+    """(lo, hi): the pairs of blocks of one label, a block with itself too, that may hold a link."""
+    some = blocks.select("group", "block", "centre", "reach")
+    lo = some.select("group", F.col("block").alias("lo"), F.col("centre").alias("lc"), F.col("reach").alias("lr"), F.pmod(F.xxhash64("block"), F.lit(deal)).alias("salt"))
+    hi = some.select(F.col("group").alias("_g"), F.col("block").alias("hi"), F.col("centre").alias("hc"), F.col("reach").alias("hr"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long"))).alias("_s"))
+    pairs = lo.join(hi, (F.col("group") == F.col("_g")) & (F.col("salt") == F.col("_s")) & (F.col("lo") <= F.col("hi")))
+    # Angles are a metric: a link is at most both radii and its own angle from centre to centre.
+    far = F.col("lr") + F.col("hr") + math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+    dot = F.aggregate(F.zip_with("lc", "hc", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    return pairs.filter((far >= math.pi) | (F.col("lo") == F.col("hi")) | F.coalesce(dot >= F.cos(far), F.lit(True))).select("lo", "hi")
 
 
 def _count_blocks(threshold: float):
-    """Rows of one pair of blocks -> per id the number of vectors (by weight) linked across it."""
+    """Rows of two blocks -> per id the number of vectors (by weight) linked across them, and
+    edges (a, b) between components that a link joins."""
 
     def work(batches):
         for batch in batches:
-            out_id, out_n = [], []
-            for ids, vs, weights, sides in zip(*batch.columns):
-                ids, blobs = np.asarray(ids.as_py(), dtype=np.int64), vs.as_py()
-                weights, sides = np.asarray(weights.as_py(), dtype=np.int64), np.asarray(sides.as_py())
-                for at in _by_length(blobs):
-                    x, w, side, who = _unit([blobs[i] for i in at]), weights[at], sides[at], ids[at]
-                    left, right = side != 1, side != 0  # 2: a block against itself
-                    linked = x[left] @ x[right].T >= threshold
-                    linked &= who[left][:, None] != who[right][None, :]
-                    out_id.append(who[left])
-                    out_n.append(linked @ w[right])
-                    if not (side == 2).all():
-                        out_id.append(who[right])
-                        out_n.append(w[left] @ linked)
-            cat = lambda parts: pa.array(np.concatenate(parts) if parts else np.array([], dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([cat(out_id), cat(out_n)], ["vec_id", "linked"])
+            out_id, out_n, out_a, out_b = [], [], [], []
+            for same, *columns in zip(*batch.columns):
+                same = same.as_py()
+                sides = []
+                for ids, vs, ws, cs in (columns[:4], columns[4:]):
+                    ids, ws, cs = (np.asarray(c.as_py(), dtype=np.int64) for c in (ids, ws, cs))
+                    blobs = vs.as_py()
+                    sides.append({len(blobs[at[0]]): (ids[at], _unit([blobs[i] for i in at]), ws[at], cs[at]) for at in _by_length(blobs)})
+                for length in sides[0].keys() & sides[1].keys():
+                    (ids, x, w, c), (ids2, x2, w2, c2) = sides[0][length], sides[1][length]
+                    linked = x @ x2.T >= threshold
+                    linked &= ids[:, None] != ids2[None, :]
+                    for who, n in ((ids, linked @ w2), (ids2, w @ linked))[: 1 if same else 2]:
+                        out_id.append(who[n > 0])
+                        out_n.append(n[n > 0])
+                    if (linked & (c[:, None] != c2[None, :])).any():
+                        low, low2, before = c, c2, None
+                        while before is None or (low != before).any():  # smallest component within reach
+                            before, most = low, np.iinfo(np.int64).max
+                            low2 = np.minimum(low2, np.where(linked, low[:, None], most).min(axis=0))
+                            low = np.minimum(low, np.where(linked, low2[None, :], most).min(axis=1))
+                        for a, b in ((c, low), (c2, low2)):
+                            edges = np.unique(np.stack([a, b])[:, a != b], axis=1)
+                            out_a.append(edges[0])
+                            out_b.append(edges[1])
+            ids, n, a, b = (np.concatenate(v) if v else np.array([], dtype=np.int64) for v in (out_id, out_n, out_a, out_b))
+            none = lambda k: pa.nulls(k, pa.int64())
+            arrays = [pa.concat_arrays([pa.array(ids), none(len(a))]), pa.concat_arrays([pa.array(n), none(len(a))]), pa.concat_arrays([none(len(ids)), pa.array(a)]), pa.concat_arrays([none(len(ids)), pa.array(b)])]
+            yield pa.RecordBatch.from_arrays(arrays, ["vec_id", "linked", "a", "b"])
 
     return work
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.98, block: int = 256, recall: float = 0.99, retries: int = 2, **options) -> DataFrame:
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.98, block: int = 1024, **options) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     rows = materialise(usable(vectors, vec_id, embedding, label), "vectors")
     classes = rows.filter("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
     # A vec_id may repeat with other vectors: classes are numbered apart from it.
     classes = materialise(classes.withColumn("class", F.monotonically_increasing_id()).withColumn("group", F.xxhash64("label")), "classes")
-    reps = classes.select(F.col("class").alias("vec_id"), "group", "v")
-    graph, tree = None, 0
-    for attempt in range(retries + 1):
-        graph = neighbour_graph(reps, threshold, first_tree=tree, known=graph, **options)
-        tree += 1000
-        linked = graph.filter(F.col("s") >= threshold).select(F.col("u").alias("a"), F.col("w").alias("b"))
-        parts = components(linked)
-        if attempt == retries or audit(reps, parts, threshold) >= recall:
-            break
-    member = parts.join(classes.select(F.col("class").alias("node"), F.col("vec_id").alias("first"), "v", "copies"), "node")
+    graph = neighbour_graph(classes.select(F.col("class").alias("vec_id"), "group", "v"), threshold, **options)
+    parts = components(graph.filter(F.col("s") >= threshold).select(F.col("u").alias("a"), F.col("w").alias("b")))
+    member = classes.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     member = materialise(member, "members")
-    whole = member.groupBy("component").agg(F.count(F.lit(1)).alias("g"), F.min("first").alias("component_id"))
-    member = member.join(whole, "component").withColumn("nb", F.ceil(F.col("g") / block).cast("int"))
-    member = member.withColumn("i", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("nb").cast("long")).cast("int"))
-    met = member.select("component", "node", "v", "copies", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
-    side = F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1)
-    met = met.select("component", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "node", "v", "copies", side.alias("side"))
-    met = met.groupBy("component", "lo", "hi").agg(F.collect_list("node").alias("ids"), F.collect_list("v").alias("vs"), F.collect_list("copies").alias("ws"), F.collect_list("side").alias("sides"))
-    counted = met.select("ids", "vs", "ws", "sides").mapInArrow(_count_blocks(threshold), "vec_id long, linked long").groupBy("vec_id").agg(F.sum("linked").alias("linked"))
-    named = member.select(F.col("node").alias("class"), "component_id")
-    classes = classes.join(named, "class", "left").join(counted.withColumnRenamed("vec_id", "class"), "class", "left")
-    classes = classes.select(
-        F.col("label").alias("_label"), F.col("v").alias("_v"), F.coalesce("component_id", "vec_id").alias("component_id"),
-        (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
-    )
+    blocks = vector_blocks(member, block)
+    side = lambda name, key: blocks.select(F.col("block").alias(key), *[F.col(c).alias(f"{name}_{c}") for c in ("ids", "vs", "ws", "cs")])
+    met = block_pairs(blocks, threshold).join(side("l", "lo"), "lo").join(side("h", "hi"), "hi")
+    met = met.select((F.col("lo") == F.col("hi")).alias("same"), *[f"{n}_{c}" for n in "lh" for c in ("ids", "vs", "ws", "cs")])
+    found = materialise(met.mapInArrow(_count_blocks(threshold), "vec_id long, linked long, a long, b long"), "links")
+    discard(blocks)
+    counted = found.filter("vec_id is not null").groupBy(F.col("vec_id").alias("class")).agg(F.sum("linked").alias("linked"))
+    joined = components(found.filter("a is not null").select("a", "b")).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    member = member.join(joined, "component", "left").withColumn("whole", F.coalesce("whole", "component"))
+    first = member.groupBy("whole").agg(F.min("vec_id").alias("component_id"))
+    classes = member.join(first, "whole").join(counted, "class", "left").select(
+        F.col("label").alias("_label"), F.col("v").alias("_v"), "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
+    )
     out = rows.join(classes, (rows["label"] == classes["_label"]) & (rows["v"] == classes["_v"]), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

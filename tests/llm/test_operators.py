@@ -161,6 +161,19 @@ def test_vector_links_match_brute_force(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out)
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_links_beyond_full_lists_join_components(spark, block):
+    """Two tight clumps, linked across: every list is filled by the vector's own clump."""
+    rng = np.random.default_rng(5)
+    a, b = np.linalg.qr(rng.standard_normal((48, 2)))[0].T
+    ends = (a, 0.985 * a + np.sqrt(1 - 0.985**2) * b)
+    rows = [(k * 100 + i, [float(x) for x in ends[k] + 0.0005 * rng.standard_normal(48)], 1) for k in range(2) for i in range(40)]
+    rows += [(1000 + i, [float(x) for x in rng.standard_normal(48)], i % 2) for i in range(100)]
+    out = {r["vec_id"]: r for r in vector_links.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=block).collect()}
+    assert all(out[i]["component_id"] == 0 and out[i]["n_links"] == 79 for i, _, _ in rows[:80])
+    assert all(out[i]["component_id"] == i and out[i]["n_links"] == 0 for i, _, _ in rows[80:])
+
+
 def test_vector_links_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vector_links.near_duplicates(df).collect() == []
