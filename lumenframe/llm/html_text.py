@@ -4,8 +4,9 @@ The standard library's parser streams events; blocks (the "lines") end at block
 A block's ratio is its unlinked text over its tags, 0 inside elements that are page
 furniture by tag, role or class. Ratios are smoothed along the page with a Gaussian
 and clustered by a threshold on them; the region of a selected block is its container,
-so that short paragraphs beside long ones stay. If the page names its article, regions
-lie within it.
+so that short paragraphs beside long ones stay. Lists, tables and quotations in a region or
+between selected blocks belong to it, except blocks that are mostly links. If the page
+names its article, regions lie within it.
 
 A null or empty page, and one without content, gives an empty text. White space inside
 a block becomes one space; blocks are joined by two line breaks in page order.
@@ -26,6 +27,7 @@ from .common import small_batches
 # HTML elements by role in a page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 CONTAINERS = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form header hgroup html main menu nav ol pre section table ul".split())
+NESTED = frozenset("blockquote details dl figure ol pre table ul".split())  # part of what they stand in
 FURNITURE = frozenset("aside button datalist dialog fieldset footer form head header iframe input label menu nav noscript object option script select style svg template textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -68,6 +70,7 @@ class _Blocks(HTMLParser):
         self.blocks: list[tuple[str, int, int, bool, int, bool]] = []
         self.stack: list[tuple[str, bool, bool, int]] = []  # tag, furniture, article, number
         self.open: dict[str, int] = {}
+        self.up: dict[int, tuple[int, bool]] = {0: (0, False)}  # container: the one around it, is it nested
         self.words: list[str] = []
         self.tags = self.linked = self.links = self.count = 0
 
@@ -108,6 +111,9 @@ class _Blocks(HTMLParser):
                 self._end_block()
             self.count += 1
             self.open[tag] = self.open.get(tag, 0) + 1
+            if tag in CONTAINERS:
+                around = next((s[3] for s in reversed(self.stack) if s[0] in CONTAINERS), 0)
+                self.up[self.count] = (around, tag in NESTED or outer[0] in ("li", "dt", "dd", "td", "th", "figcaption"))
             self.stack.append((tag, outer[1] or furniture, outer[2] or tag in ("article", "main"), self.count))
 
     def handle_endtag(self, tag: str) -> None:
@@ -126,7 +132,7 @@ class _Blocks(HTMLParser):
         if self.links:
             self.linked += len(data)
 
-    def blocks_of(self, html: str) -> list[tuple[str, int, int, bool, int, bool]]:
+    def read(self, html: str) -> _Blocks:
         cut = html.rfind("<")
         if cut > html.rfind(">") and re.match(r"<(?:[a-zA-Z/!?]|$)", html[cut:]):
             html = html[:cut]  # the page broke off inside a tag
@@ -136,7 +142,7 @@ class _Blocks(HTMLParser):
         self.feed(html)
         self.close()
         self._end_block()
-        return self.blocks
+        return self
 
 
 def smooth(values: list[float], sigma: float = 1.0) -> list[float]:
@@ -158,10 +164,24 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     if not html:
         return ""
     # A wrapper around everything may have a misleading name: then names do not count.
-    return _select(_Blocks().blocks_of(html), sigma) or _select(_Blocks(use_names=False).blocks_of(html), sigma)
+    return _select(_Blocks().read(html), sigma) or _select(_Blocks(use_names=False).read(html), sigma)
 
 
-def _select(blocks: list[tuple[str, int, int, bool, int, bool]], sigma: float) -> str:
+def _inherits(container: int, up: dict[int, tuple[int, bool]], regions: set[int], filled: dict) -> bool:
+    """Does a nested container stand in a region, wrappers without a text of their own aside?"""
+    if not up[container][1]:
+        return False
+    while container:
+        container, nested = up[container][0], up[up[container][0]][1]
+        if container in regions:
+            return True
+        if container in filled and not nested:
+            return False
+    return False
+
+
+def _select(page: _Blocks, sigma: float) -> str:
+    blocks = page.blocks
     ratios = [0.0 if b[3] else max(0, len(b[0]) - b[2]) / max(1, b[1]) for b in blocks]
     if not any(ratios):
         return ""
@@ -183,8 +203,23 @@ def _select(blocks: list[tuple[str, int, int, bool, int, bool]], sigma: float) -
             pair[0] += len(b[0])
             pair[1] += len(b[0]) if p else 0
     regions = {c for c, (whole, some) in chars.items() if 2 * some >= whole}
-    kept = [b[0] for b, p, n in zip(blocks, picked, inside) if n and (p or b[4] in regions)]
-    return "\n\n".join(kept)
+    kept = [n and (p or b[4] in regions) for b, p, n in zip(blocks, picked, inside)]
+    within = {c: _inherits(c, page.up, regions, chars) for c in chars}
+    own = [n and 2 * b[2] <= len(b[0]) for b, n in zip(blocks, inside)]  # not mostly links
+    held: list[int] = []  # nested blocks since the last kept one, if nothing else came between
+    open_run = False
+    for i, b in enumerate(blocks):
+        if not kept[i] and own[i] and within[b[4]]:
+            kept[i] = True
+        if kept[i]:
+            for j in held if open_run else ():
+                kept[j] = True
+            held, open_run = [], True
+        elif own[i] and page.up[b[4]][1]:
+            held.append(i)
+        elif own[i]:
+            held, open_run = [], False
+    return "\n\n".join(b[0] for b, k in zip(blocks, kept) if k)
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

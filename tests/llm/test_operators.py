@@ -126,6 +126,20 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div>{}</div>", "<div><div class=text>{}</div></div>"])
+@pytest.mark.parametrize("lone", ["{}", "<div>{}</div>"])
+def test_short_blocks_of_an_article_stay(wrap, lone):
+    cells = [[f"c{i}x{j}" for j in range(4)] for i in range(40)]
+    table = "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in cells) + "</table>"
+    items = [f"Item number {i} of the list" for i in range(30)]
+    listed = "<ul>" + "".join(f"<li><div>{x}</div></li>" if k % 2 else f"<li>{x}" for k, x in enumerate(items)) + "</ul>"
+    long = f"<p>{PARAGRAPH * 7}</p>"
+    links = "<ul>" + "".join(f"<li><a href=x>Other page {i}</a></li>" for i in range(20)) + "</ul>"
+    page = f"<body>{wrap.format(long * 3 + lone.format(table) + long + lone.format(listed) + long + links)}<div>{links}</div></body>"
+    want = [PARAGRAPH * 7] * 3 + [c for r in cells for c in r] + [PARAGRAPH * 7] + items + [PARAGRAPH * 7]
+    assert html_text.main_text(page).split("\n\n") == want
+
+
 def test_long_page_and_extra_columns(spark):
     page = "<article>" + f"<p>{PARAGRAPH}</p>" * 3000 + "</article>"
     df = spark.createDataFrame([(1, "u", page, "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")
