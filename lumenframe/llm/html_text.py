@@ -6,7 +6,8 @@ furniture by tag, role or class. Ratios are smoothed along the page with a Gauss
 and clustered by a threshold on them; the region of a selected block is its container,
 so that short paragraphs beside long ones stay. Lists, tables and quotations in a region or
 between selected blocks belong to it, except blocks that are mostly links. If the page
-names its article, regions lie within it.
+names its article, regions lie within it. A form or fieldset around the article or nearly
+all text is no furniture; its controls are.
 
 A null or empty page, and one without content, gives an empty text. White space inside
 a block becomes one space; blocks are joined by two line breaks in page order.
@@ -29,6 +30,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CONTAINERS = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form header hgroup html main menu nav ol pre section table ul".split())
 NESTED = frozenset("blockquote details dl figure ol pre table ul".split())  # part of what they stand in
 FURNITURE = frozenset("aside button datalist dialog fieldset footer form head header iframe input label menu nav noscript object option script select style svg template textarea title".split())
+WRAPPERS = frozenset("fieldset form".split())  # furniture, unless the page or its article lies within
+RARE_WRAPPERS = WRAPPERS | frozenset("aside header object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 WORDS = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies disclaimer disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification pagination paywall popup promo promoted recommended related replies reply respond share sharing sidebar signup sitemap skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
@@ -46,10 +49,10 @@ def _named_furniture(value: str, whole: bool) -> bool:
     return False
 
 
-def _is_furniture(tag: str, attrs: list, inside_article: bool, use_names: bool) -> bool:
+def _is_furniture(tag: str, attrs: list, inside_article: bool, use_names: bool, wrappers: frozenset = frozenset()) -> bool:
     if tag in ("html", "body", "main"):
         return False
-    if tag in FURNITURE:
+    if tag in FURNITURE and tag not in wrappers:
         return not (tag == "header" and inside_article)
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -64,9 +67,9 @@ def _is_furniture(tag: str, attrs: list, inside_article: bool, use_names: bool)
 class _Blocks(HTMLParser):
     """Collects blocks: (text, tags, linked characters, furniture, container, in article)."""
 
-    def __init__(self, use_names: bool = True) -> None:
+    def __init__(self, use_names: bool = True, wrappers: frozenset = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.use_names = use_names
+        self.use_names, self.wrappers, self.wrapped = use_names, wrappers, False
         self.blocks: list[tuple[str, int, int, bool, int, bool]] = []
         self.stack: list[tuple[str, bool, bool, int]] = []  # tag, furniture, article, number
         self.open: dict[str, int] = {}
@@ -105,7 +108,8 @@ class _Blocks(HTMLParser):
         if tag == "a":
             self.links += 1
         outer = self.stack[-1] if self.stack else ("", False, False, 0)
-        furniture = _is_furniture(tag, attrs, outer[2], self.use_names)
+        furniture = _is_furniture(tag, attrs, outer[2], self.use_names, self.wrappers)
+        self.wrapped |= tag in WRAPPERS
         if block or furniture:
             if furniture and not block:
                 self._end_block()
@@ -164,7 +168,26 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     if not html:
         return ""
     # A wrapper around everything may have a misleading name: then names do not count.
-    return _select(_Blocks().read(html), sigma) or _select(_Blocks(use_names=False).read(html), sigma)
+    for use_names in (True, False):
+        page = _Blocks(use_names).read(html)
+        if page.wrapped:
+            opened = _Blocks(use_names, WRAPPERS).read(html)
+            page = opened if _wraps_page(opened, page) else page
+        text = _select(page, sigma)
+        if text:
+            return text
+    opened = _Blocks(False, RARE_WRAPPERS).read(html)
+    return _select(opened, sigma) if _own_text(opened) >= 200 else ""
+
+
+def _own_text(page: _Blocks) -> int:
+    return sum(max(0, len(b[0]) - b[2]) for b in page.blocks if not b[3])
+
+
+def _wraps_page(opened: _Blocks, page: _Blocks) -> bool:
+    """Do forms hold the named article, or four fifths of the text?"""
+    named = [any(b[5] and not b[3] for b in x.blocks) for x in (opened, page)]
+    return named == [True, False] or (not named[1] and _own_text(opened) > 5 * _own_text(page))
 
 
 def _inherits(container: int, up: dict[int, tuple[int, bool]], regions: set[int], filled: dict) -> bool:

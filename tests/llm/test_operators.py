@@ -140,6 +140,26 @@ def test_short_blocks_of_an_article_stay(wrap, lone):
     assert html_text.main_text(page).split("\n\n") == want
 
 
+CONTROLS = "<label>Name</label><select><option>One</option></select><textarea>Typed</textarea><button>Send</button>"
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<body><form id=aspnetForm>{CONTROLS}<div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div></form></body>", f"{PARAGRAPH}\n\n{PARAGRAPH}"),
+        (f"<body><fieldset><form><p>{PARAGRAPH}</p>{CONTROLS}</form></fieldset></body>", PARAGRAPH),
+        (f"<body><form>{CONTROLS}<article><p>{PARAGRAPH}</p></article></form><div><p>{PARAGRAPH} {PARAGRAPH} beside</p></div></body>", PARAGRAPH),
+        (f"<body><div>Some words outside</div><form><nav><p>{PARAGRAPH} nav</p></nav><div>" + f"<p>{PARAGRAPH}</p>" * 4 + "</div></form></body>", "\n\n".join([PARAGRAPH] * 4)),
+        (f"<body><aside><p>{PARAGRAPH * 3}</p></aside></body>", PARAGRAPH * 3),
+        (f"<body><div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div><form><p>{PARAGRAPH} comment</p>{CONTROLS}</form></body>", f"{PARAGRAPH}\n\n{PARAGRAPH}"),
+        (f"<article><p>{PARAGRAPH}</p></article><form>" + f"<p>{PARAGRAPH} terms</p>" * 30 + "</form>", PARAGRAPH),
+        (f"<body><form>{CONTROLS}</form><footer>&copy; x</footer></body>", ""),
+    ],
+)
+def test_wrapped_page(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_long_page_and_extra_columns(spark):
     page = "<article>" + f"<p>{PARAGRAPH}</p>" * 3000 + "</article>"
     df = spark.createDataFrame([(1, "u", page, "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")
