@@ -1,10 +1,15 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash rolls over the bytes of a text and a chunk ends where five of its bits are
+A gear hash rolls over the bytes of a text and a chunk ends where four of its bits are
 zero, so cuts depend on the last 16 bytes only: a passage that moves by an insertion is
-cut alike. Chunks are counted by digest over the corpus. Consecutive chunks that occur
-elsewhere form a passage; passages of at least ``min_words`` words are reported, and the
-part of them whose chunks have an earlier occurrence (by doc_id, then place) is removable.
+cut alike. The 32 bytes before each cut are counted by digest over the corpus. Those that
+occur elsewhere are anchors: in their surroundings every window of ``min_words`` words is digested and counted
+exactly, so that the borders of chunks do not matter for a passage's length. The windows
+that occur again, joined where they overlap, are the passages; those that have an earlier
+occurrence (by doc_id, then place) are removable.
+
+In scripts without spaces two characters count as a word; a window also ends after
+``min_chars`` characters, for texts that have few words. A shorter text is one window.
 
 Null and empty texts have no chunks. Repeated rows count as occurrences of their own.
 Ties between equal documents go to the row that was written first. Extra columns are ignored.
@@ -12,6 +17,8 @@ Ties between equal documents go to the row that was written first. Extra columns
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,16 +29,20 @@ from pyspark.sql import functions as F
 from .common import materialise, packed, replace_spans, small_batches, unpacked
 
 GEAR_SEED = 20240501
+# Thai to Lao, Myanmar, Khmer, kana and the Han blocks.
+_SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_UNIT = re.compile(f"([{_SPACELESS}])|([^\\s{_SPACELESS}]{{1,32}}(?![^\\s{_SPACELESS}]))|(\\S)")
+_HALVES = np.array([0, 1, 2, 0])  # half words by group of the pattern
 
 
-def cuts(raw: np.ndarray, gear: np.ndarray, least: int, most: int) -> list[int]:
+def cuts(raw: np.ndarray, gear: np.ndarray, least: int, most: int, mask: int = 31) -> list[int]:
     """End offsets of the chunks of ``raw`` (bytes)."""
     h = gear[raw]
     for s in (1, 2, 4, 8):  # after these, h covers the last 16 bytes
         if len(h) > s:
             h = np.concatenate([h[:s], h[s:] + (h[:-s] << np.uint32(s))])
     ends, last = [], 0
-    for end in (np.flatnonzero((h >> np.uint32(11)) & np.uint32(31) == 0) + 1).tolist():
+    for end in (np.flatnonzero((h >> np.uint32(11)) & np.uint32(mask) == 0) + 1).tolist():
         if end - last >= least:
             while end - last > most:
                 last += most
@@ -46,44 +57,81 @@ def cuts(raw: np.ndarray, gear: np.ndarray, least: int, most: int) -> list[int]:
     return ends
 
 
-def chunk_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 12, most: int = 128) -> DataFrame:
-    """One row per document: doc_id, digests, stops (code points), words (begun in each chunk)."""
+def chunk_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 1, most: int = 64, mask: int = 15) -> DataFrame:
+    """One row per document: doc_id, body, digests (of the bytes before each cut), stops (code points)."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def work(batches):
         gear = np.random.default_rng(GEAR_SEED).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], []]
             for body in batch.column(1):
                 raw = (body.as_py() or "").encode("utf-8", "replace")
                 a = np.frombuffer(raw, dtype=np.uint8)
-                ends = cuts(a, gear, least, most)
-                marks = np.array([digest(raw[i:j]) for i, j in zip([0, *ends], ends)], dtype=np.uint64)
-                space = (a == 32) | ((a >= 9) & (a <= 13))
-                begun = ~space & np.concatenate([[True], space[:-1]]) if len(a) else space
+                ends = cuts(a, gear, least, most, mask)
+                marks = np.array([digest(raw[max(0, j - 32) : j]) for j in ends], dtype=np.uint64)
                 at = np.array(ends, dtype=np.int64) - 1
                 out[0].append(marks.view(np.int64))
                 out[1].append(np.cumsum((a & 0xC0) != 0x80)[at].astype(np.int32) if len(a) else at.astype(np.int32))
-                out[2].append(np.diff(np.cumsum(begun)[at], prepend=0).astype(np.int32) if len(a) else at.astype(np.int32))
-            arrays = [pa.array(v, pa.list_(t)) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "digests", "stops", "words"])
-
-    return small_batches(docs).select(F.col(doc_id), F.col(text)).mapInArrow(work, f"doc_id {kind}, digests array<long>, stops array<int>, words array<int>")
-
-
-def _passages(at: np.ndarray, stops: np.ndarray, words: np.ndarray, min_words: int) -> tuple[list[dict], int]:
-    """Spans of the runs of consecutive chunk numbers that hold enough words, and the
-    number of chunks in them."""
-    spans, held = [], 0
-    for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []:
-        if words[run].sum() >= min_words:
-            spans.append({"start": int(stops[run[0] - 1]) if run[0] else 0, "stop": int(stops[run[-1]])})
-            held += len(run)
-    return spans, held
-
-
-def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 24, least: int = 12, most: int = 128) -> DataFrame:
+            arrays = [pa.array(v, pa.list_(t)) for v, t in zip(out, (pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], ["doc_id", "body", "digests", "stops"])
+
+    return small_batches(docs).select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(work, f"doc_id {kind}, body string, digests array<long>, stops array<int>")
+
+
+def _regions(places: np.ndarray, stops: np.ndarray, reach: int) -> list[tuple[int, int]]:
+    """Runs of anchors with ``reach`` code points before and up to the next cut."""
+    out: list[tuple[int, int]] = []
+    for run in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
+        first, last = int(run[0]), int(run[-1])
+        lo, hi = max(0, int(stops[first - 1]) - reach) if first else 0, int(stops[min(last + 1, len(stops) - 1)])
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def windows(body: str, stops: np.ndarray, places: np.ndarray, min_words: int, min_chars: int) -> list[tuple[int, int]]:
+    """Spans of the shortest windows that are long enough, one from each word on.
+
+    Equal windows are cut alike, so the last cut in a window that occurs again is an
+    anchor; others are left out."""
+    out = []
+    anchor = np.zeros(len(stops) + 1, dtype=bool)  # by the number of cuts so far
+    anchor[places + 1] = True
+    for lo, hi in _regions(places, stops, min_chars):
+        found = [(m.start(), m.end(), m.lastindex) for m in _UNIT.finditer(body, lo, hi)]
+        if found and lo and found[0][0] == lo and found[0][2] != 1 and not body[lo - 1].isspace():
+            found = found[1:]  # a word that the region cuts
+        if found and found[-1][1] == hi < len(body) and found[-1][2] != 1 and not body[hi].isspace():
+            found = found[:-1]
+        if not found:
+            continue
+        start, stop, group = np.array(found, dtype=np.int64).T
+        held = np.concatenate([[0], np.cumsum(_HALVES[group])])
+        by_words = np.searchsorted(held[1:], held[:-1] + 2 * min_words)
+        last = np.minimum(by_words, np.searchsorted(stop, start + min_chars))
+        if last[0] == len(start) and not body[:lo].strip() and not body[hi:].strip():
+            out.append((int(start[0]), int(stop[-1])))  # a short text is one window
+        fits = np.flatnonzero(last < len(start))
+        fits = fits[anchor[np.searchsorted(stops, stop[last[fits]], "right")]]
+        out += zip(start[fits].tolist(), stop[last[fits]].tolist())
+    return out
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[dict]:
+    out: list[dict] = []
+    for start, stop in sorted(spans):
+        if out and start <= out[-1]["stop"]:
+            out[-1]["stop"] = max(stop, out[-1]["stop"])
+        else:
+            out.append({"start": start, "stop": stop})
+    return out
+
+
+def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 24, min_chars: int = 240, least: int = 1, most: int = 64) -> DataFrame:
     """One row per document: doc_id, n_chunks, n_repeated, repeated and removable.
 
     ``n_repeated`` counts chunks inside passages found elsewhere; ``repeated`` and
@@ -92,27 +140,46 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     rows = materialise(chunk_table(docs, text, doc_id, least, most).withColumn("row", F.monotonically_increasing_id()), "chunks")
     each = rows.select("row", F.posexplode("digests").alias("place", "digest"))
     many = materialise(each.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "repeats")
-    shared = materialise(each.join(many, "digest").join(rows.select("row", "doc_id"), "row").select("digest", "row", "doc_id", "place"), "shared")
-    first = shared.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "place")).alias("f"))
-    marked = shared.join(first, "digest").select("row", "place", ((F.col("f.row") != F.col("row")) | (F.col("f.place") != F.col("place"))).alias("later"))
-    by_doc = marked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "later"))).alias("hits"))
+    anchors = each.join(many, "digest").groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("places"))
+
+    def near(batches):
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            row, start, stop, mark = [], [], [], []
+            for i, body, stops, places in zip(*batch.columns):
+                body = body.as_py()
+                for a, b in windows(body, np.asarray(stops.as_py()), np.asarray(places.as_py()), min_words, min_chars):
+                    row.append(i.as_py())
+                    start.append(a)
+                    stop.append(b)
+                    mark.append(digest(body[a:b].encode("utf-8", "replace")))
+            marks = pa.array(np.array(mark, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), marks], ["row", "start", "stop", "digest"])
+
+    found = rows.select("row", "body", "stops").join(anchors, "row").mapInArrow(near, "row long, start int, stop int, digest long")
+    found = materialise(found, "windows")
+    again = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
+    shared = materialise(found.join(again, "digest").join(rows.select("row", "doc_id"), "row"), "shared")
+    first = shared.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "start")).alias("f"))
+    marked = shared.join(first, "digest").select("row", "start", "stop", ((F.col("f.row") != F.col("row")) | (F.col("f.start") != F.col("start"))).alias("later"))
+    by_doc = marked.groupBy("row").agg(F.collect_list(F.struct("start", "stop", "later")).alias("hits"))
 
     @F.pandas_udf("n_repeated long, repeated array<struct<start:int,stop:int>>, removable array<struct<start:int,stop:int>>")
-    def spans(hits, stops, words):
+    def spans(hits, stops):
         out = []
-        for h, s, w in zip(hits, stops, words):
+        for h, s in zip(hits, stops):
             if h is None:
                 out.append((0, [], []))
                 continue
-            s, w = np.asarray(s), np.asarray(w)
-            place = np.array([x["place"] for x in h], dtype=np.int64)
-            later = np.array([x["later"] for x in h], dtype=bool)
-            found, held = _passages(place, s, w, min_words)
-            out.append((held, found, _passages(place[later], s, w, min_words)[0]))
+            every = _joined([(x["start"], x["stop"]) for x in h])
+            s = np.asarray(s)
+            begun = np.concatenate([[0], s[:-1]])
+            held = sum(int(max(0, np.searchsorted(s, x["stop"], "right") - np.searchsorted(begun, x["start"]))) for x in every)
+            out.append((held, every, _joined([(x["start"], x["stop"]) for x in h if x["later"]])))
         return pd.DataFrame(out, columns=["n_repeated", "repeated", "removable"])
 
-    out = rows.join(by_doc, "row", "left").withColumn("s", spans("hits", "stops", "words"))
-    return out.select("doc_id", F.size("digests").cast("long").alias("n_chunks"), "s.n_repeated", "s.repeated", "s.removable")
+    out = rows.select("row", "doc_id", "stops").join(by_doc, "row", "left").withColumn("s", spans("hits", "stops"))
+    return out.select("doc_id", F.size("stops").cast("long").alias("n_chunks"), "s.n_repeated", "s.repeated", "s.removable")
 
 
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

@@ -589,6 +589,29 @@ def test_repeated_passages(spark, empty):
     assert chunks.repeated_passages(empty).collect() == []
 
 
+def test_short_passages_are_found_exactly(spark):
+    """Passages just over 24 words, texts without spaces and short texts that repeat whole."""
+    rng, rows, want = random.Random(12), [], {}
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(3, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(n))
+    for i in range(200):
+        passage = prose(26 + i % 30) if i % 4 else han(150)
+        for k in (0, 1):
+            head, tail = (prose(20 + k), prose(15)) if i % 4 else (han(60 + k), han(50))
+            head, tail = (head + " ", " " + tail) if i % 4 else (head, tail)
+            want[2 * i + k] = (len(head), len(head) + len(passage))
+            rows.append((2 * i + k, head + passage + tail))
+    rows += [(1000, "Only a few words here."), (1001, "Only a few words here."), (1002, "Some other few words."), (1003, prose(23))]
+    out = {r["doc_id"]: r for r in chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, span in want.items():
+        assert [tuple(s) for s in out[i]["repeated"]] == [span], i
+        assert [tuple(s) for s in out[i]["removable"]] == ([span] if i % 2 else []), i
+    assert [tuple(s) for s in out[1001]["removable"]] == [(0, 22)] and out[1000]["repeated"] and not out[1000]["removable"]
+    assert not out[1002]["repeated"] and not out[1003]["repeated"]
+
+
 def test_passages_are_cut_once(spark, empty):
     rng = random.Random(9)
     passage, rows = make_text(rng, 80), []
