@@ -14,6 +14,7 @@ documents of their own. Extra columns are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import json
 import re
 
 import numpy as np
@@ -32,11 +33,12 @@ LONG_SPACE = re.compile(r"\s{10000}")
 class Coder:
     """Byte-level BPE by merge ranks: the ids that the tokenizer file of that name gives.
 
-    The fast coder gives up on white space of some hundred thousand characters in a row;
-    such a text goes to the tokenizer file itself, which is loaded only then.
+    The fast coder gives up on white space of some hundred thousand characters in a row and
+    knows no added tokens; a text with either goes to the tokenizer file itself, which is
+    loaded only then. Without ``added_tokens`` their strings are ordinary text.
     """
 
-    def __init__(self, rank_file: str | None = None, tokenizer_file: str | None = None) -> None:
+    def __init__(self, rank_file: str | None = None, tokenizer_file: str | None = None, added_tokens: bool = False) -> None:
         import public_tokenizers as names
         import tiktoken
 
@@ -44,15 +46,20 @@ class Coder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=names.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.file, self.slow = tokenizer_file or names.path("byte_bpe_50k.json"), None
+        self.ordinary, added = not added_tokens, []
+        if added_tokens:
+            with open(self.file, encoding="utf-8") as file:
+                added = [t["content"] for t in json.load(file).get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
     def encode(self, text: str) -> list[int]:
-        if not LONG_SPACE.search(text):
+        if not LONG_SPACE.search(text) and not (self.added and self.added.search(text)):
             return self.fast.encode_ordinary(text)
         if self.slow is None:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.file)
-            self.slow.encode_special_tokens = True  # their strings are ordinary text
+            self.slow.encode_special_tokens = self.ordinary
         return self.slow.encode(text, add_special_tokens=False).ids
 
 
@@ -133,7 +140,7 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
     schema = f"doc_id {kind}, start long, length int, doc_tokens long, ids binary, part int, nth long"
 
     def cut(batches):
-        coder = Coder(rank_file, tokenizer_file)
+        coder = Coder(rank_file, tokenizer_file, added_tokens=True)
         part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, dtype=np.int64)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "ids", "part", "nth")}

@@ -456,6 +456,18 @@ def test_rank_file_gives_the_tokenizer_ids():
         assert coder.encode(x) == t.encode(x, add_special_tokens=False).ids, x
 
 
+def test_packed_ids_hold_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # as the file sets it
+    texts = ["a<|endoftext|>b", "x <|endoftext|>\n<|endoftext|>", "<|endoftext|>", "plain <|endof", " \n" * 20_000 + "<|endoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in packing.pack(df, window=1 << 17).collect():
+        assert np.frombuffer(bytes(r["ids"]), dtype="<u4").tolist() == [*t.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 1]
+    assert packing.Coder(added_tokens=True).encode("a<|endoftext|>b") == [64, 50256, 65]
+
+
 # -- 7 licenses ------------------------------------------------------------
 def test_patience_alignment():
     a = "x the quick brown fox jumps over the lazy dog y".split()
