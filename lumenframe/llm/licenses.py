@@ -6,14 +6,17 @@ anchors are aligned in the same way. Coverage is the share of template words ali
 Long texts are aligned in overlapping windows around the template's rare words, so that
 words which recur elsewhere in a document stay unique where they matter.
 
-Null and empty texts match nothing. All matches of a document are reported, the longest
-first where windows overlap. Repeated rows each give a row. Extra columns are ignored.
+Null and empty texts match nothing. All matches of a document are reported; where they
+overlap, the one with the most aligned words. A match holds the words that tell licenses
+apart (versions in notices, Lesser, Affero, NC, SA) as its template does. Repeated rows each give a row. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,11 +34,31 @@ TEMPLATES = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-1.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.0": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "EPL-1.0": "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "CC-BY-4.0-short": "Licensed under CC BY 4.0.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
 }
+for _file in sorted(Path(__file__).with_name("license_texts").glob("*.txt")):  # whole texts
+    TEMPLATES[f"{_file.stem}-text"] = _file.read_text(encoding="utf-8")
+TEMPLATES["MIT-text"] = TEMPLATES["MIT"] + " THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+# Words that tell one license from its relatives: a match has just those of the template.
+TELLING = frozenset("affero derivatives lesser nc nd noderivatives noderivs noncommercial sa sharealike".split())
+NOTICE = 150  # words; in a template up to this length the numbers tell versions apart
+
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -98,6 +121,7 @@ class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float) -> None:
         self.coverage = coverage
         self.templates = {k: words_of(v) for k, v in templates.items()}
+        self.counts = {k: Counter(v) for k, v in self.templates.items()}
         common: dict[str, int] = {}
         for words in self.templates.values():
             for w in set(words):
@@ -113,16 +137,28 @@ class Scanner:
                     break
             self.rare[name] = frozenset(chosen)
 
+    def _tells(self, name: str, words: list[str], pairs: list[tuple[int, int]]) -> bool:
+        template, aligned = self.templates[name], {j for _, j in pairs}
+        if any(j not in aligned and (w in TELLING or (w.isdigit() and len(template) <= NOTICE)) for j, w in enumerate(template)):
+            return False
+        taken = {i for i, _ in pairs}
+        return not any(words[i] in TELLING and i not in taken for i in range(pairs[0][0], pairs[-1][0]))
+
     def find(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(template, coverage, first word, end word) of every match, by place."""
         low = (text or "").lower()
-        names = [n for n, rare in self.rare.items() if any(w in low for w in rare)]
+        # A long template is sought by its words' counts, in texts that are long enough.
+        names = [n for n, rare in self.rare.items() if (len(low) > 1.9 * self.coverage * len(self.templates[n]) if len(self.templates[n]) > NOTICE else any(w in low for w in rare))]
         if not names:
             return []
         words = _WORD.findall(low)
         found = []
+        held = Counter(words) if any(self.coverage * len(self.templates[n]) <= len(words) for n in names) else Counter()
         for name in names:
             template, rare = self.templates[name], self.rare[name]
+            least = self.coverage * len(template) - 1e-6
+            if len(words) < least or sum(n for w, n in self.counts[name].items() if w in held) < least or sum(min(n, held[w]) for w, n in self.counts[name].items()) < least:
+                continue
             reach, until = len(template) + len(template) // 2, -1
             for i, w in enumerate(words):
                 if w not in rare or i < until:
@@ -133,10 +169,13 @@ class Scanner:
                     pairs = pairs[1:] if pairs[1][0] - pairs[0][0] > pairs[-1][0] - pairs[-2][0] else pairs[:-1]
                 share = len(pairs) / len(template)
                 if pairs and share >= self.coverage - 1e-9:
-                    found.append((name, share, lo + pairs[0][0], lo + pairs[-1][0] + 1))
                     until = lo + pairs[-1][0] + 1
+                    if self._tells(name, words[lo:hi], pairs):
+                        found.append((name, share, lo + pairs[0][0], lo + pairs[-1][0] + 1))
+                elif len(template) > NOTICE:
+                    until = i + len(template) // 4  # the window reaches beyond a match that starts there
         kept: list[tuple[str, float, int, int]] = []
-        for m in sorted(found, key=lambda m: (m[2] - m[3], -m[1], m[0])):  # longest first
+        for m in sorted(found, key=lambda m: (-round(m[1] * len(self.templates[m[0]])), -m[1], m[2] - m[3], m[0])):
             if all(m[3] <= k[2] or m[2] >= k[3] for k in kept):
                 kept.append(m)
         return sorted(kept, key=lambda m: m[2])

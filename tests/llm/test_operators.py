@@ -503,6 +503,18 @@ def test_every_template_is_found_whole():
         assert [f[0] for f in found] == [name] and found[0][1] == 1.0, (name, found)
 
 
+@pytest.mark.parametrize("text, names", [
+    (licenses.TEMPLATES["GPL-3.0"].replace("version 3", "version 2"), ["GPL-2.0"]),
+    (licenses.TEMPLATES["GPL-3.0"].replace("version 3", "version 9"), []),
+    (licenses.TEMPLATES["GPL-3.0"].replace("GNU General", "GNU Affero General"), ["AGPL-3.0"]),
+    ("Licensed under CC BY 4.0.", ["CC-BY-4.0-short"]), ("Licensed under CC BY-ND 4.0.", []), ("Licensed under CC BY 3.0.", []), ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0-notice"]),
+    *[(licenses.TEMPLATES[f"{n}-text"], [f"{n}-text"]) for n in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "Apache-2.0", "MPL-2.0", "CC0-1.0") if f"{n}-text" in licenses.TEMPLATES],
+])
+def test_licenses_are_told_apart(text, names):
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    assert [f[0] for f in scanner.find(f"some words before it {text} and after")] == names
+
+
 # -- 8 simhash -------------------------------------------------------------
 def brute_fingerprint(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
