@@ -1,24 +1,27 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash rolls over the bytes of a text and a chunk ends where four of its bits are
-zero, so cuts depend on the last 16 bytes only: a passage that moves by an insertion is
-cut alike. The 32 bytes before each cut are counted by digest over the corpus. Those that
-occur elsewhere are anchors: in their surroundings every window of ``min_words`` words is digested and counted
-exactly, so that the borders of chunks do not matter for a passage's length. The windows
-that occur again, joined where they overlap, are the passages; those that have an earlier
-occurrence (by doc_id, then place) are removable.
-
-In scripts without spaces two characters count as a word; a window also ends after
-``min_chars`` characters, for texts that have few words. A shorter text is one window.
-
-Null and empty texts have no chunks. Repeated rows count as occurrences of their own.
-Ties between equal documents go to the row that was written first. Extra columns are ignored.
+A gear hash rolls over the bytes of a text; its least value within every ``span`` bytes is
+a cut, so cuts depend on the bytes near them only: a passage that moves by an insertion is
+cut alike, and no stretch of ``span`` bytes is without a cut. From each cut a chunk runs for
+``chunk_words`` words; chunks vary in bytes, overlap, and are counted by digest over the corpus.
+
+A passage repeats where ``min_words`` words in a row occur again. Such windows are counted by
+a second digest where their chunks recur: from every cut, and from every word near a chunk
+that has other neighbours elsewhere, as there a passage may begin or end. So the spans
+reported are those of comparing all windows, with exact borders, as long as ``min_words``
+words hold a chunk and ``span`` + 16 bytes; that is so for 4.4 bytes a word, spaces included.
+A report needs equality of two 64-bit digests. Windows that have an earlier occurrence (by
+doc_id, then row and place) are removable.
+
+Words end at ASCII white space; in scripts without spaces two characters count as a word, and
+words beyond 24 bytes as several. Repeats inside a document count as well. Null, empty and
+shorter texts have no passages. Repeated rows count as occurrences of their own; ties between
+equal documents go to the row that was written first. Extra columns are ignored. Work and
+memory grow with the length of a text, not with the number of its repeats.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,99 +29,154 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, packed, replace_spans, small_batches, unpacked
-
-GEAR_SEED = 20240501
-# Thai to Lao, Myanmar, Khmer, kana and the Han blocks.
-_SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_UNIT = re.compile(f"([{_SPACELESS}])|([^\\s{_SPACELESS}]{{1,32}}(?![^\\s{_SPACELESS}]))|(\\S)")
-_HALVES = np.array([0, 1, 2, 0])  # half words by group of the pattern
-
-
-def cuts(raw: np.ndarray, gear: np.ndarray, least: int, most: int, mask: int = 31) -> list[int]:
-    """End offsets of the chunks of ``raw`` (bytes)."""
-    h = gear[raw]
-    for s in (1, 2, 4, 8):  # after these, h covers the last 16 bytes
-        if len(h) > s:
-            h = np.concatenate([h[:s], h[s:] + (h[:-s] << np.uint32(s))])
-    ends, last = [], 0
-    for end in (np.flatnonzero((h >> np.uint32(11)) & np.uint32(mask) == 0) + 1).tolist():
-        if end - last >= least:
-            while end - last > most:
-                last += most
-                ends.append(last)
-            ends.append(end)
-            last = end
-    while len(raw) - last > most:
-        last += most
-        ends.append(last)
-    if last < len(raw):
-        ends.append(len(raw))
-    return ends
-
-
-def chunk_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 1, most: int = 64, mask: int = 15) -> DataFrame:
-    """One row per document: doc_id, body, digests (of the bytes before each cut), stops (code points)."""
+from .common import discard, materialise, packed, replace_spans, unpacked
+
+GEAR = np.random.default_rng(20240501).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
+_SOLID = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+LEFT, RIGHT = 1, 2  # other chunks before, after
+
+
+def _sliding(best, values: np.ndarray, span: int) -> np.ndarray:
+    """``best`` (minimum or maximum) of every ``span`` values in a row."""
+    size = 1
+    while 2 * size <= span:
+        values = best(values[:-size], values[size:])
+        size *= 2
+    return best(values[: len(values) - (span - size)], values[span - size :]) if size < span else values
+
+
+def cuts(raw: np.ndarray, span: int, block: int = 1 << 20) -> np.ndarray:
+    """Increasing offsets in ``raw`` (bytes): each is the least gear hash of some ``span`` bytes."""
+    out = [np.zeros(1, dtype=np.int64)]
+    for lo in range(0, max(1, len(raw) - span + 1), block):
+        begin = max(0, lo - 15)
+        h = GEAR[raw[begin : lo + block + span - 1]]
+        for s in (1, 2, 4, 8):  # after these, h covers the last 16 bytes
+            h[s:] += h[:-s] << np.uint32(s)
+        h = h[lo - begin :]
+        if len(h) < span:
+            break
+        # A cut is the least of some window: what the greatest of the windows' leasts around it is.
+        least = _sliding(np.minimum, h, span)
+        ends = np.zeros(span - 1, dtype=np.uint32)
+        at = np.flatnonzero(_sliding(np.maximum, np.concatenate([ends, least, ends]), span) == h)
+        same = np.flatnonzero(h[at[1:]] == h[at[:-1]]) + 1
+        if len(same):  # a periodic stretch: one cut within each `span` bytes is enough
+            keep, before = np.ones(len(at), dtype=bool), -1
+            for k in same.tolist():
+                before = before if before >= 0 and h[at[k]] == h[at[before]] and at[k - 1] <= at[before] + span else k - 1
+                if at[k] - at[before] < span:
+                    keep[k] = False
+                else:
+                    before = k
+            at = at[keep]
+        out.append(at + lo + 1)
+    return np.unique(np.concatenate(out))
+
+
+def units(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the units of a text (bytes), and the half words before each and in all."""
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+    solid = _SOLID[raw]
+    change = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    if solid[0]:
+        change = np.concatenate([[0], change])
+    start, stop = change[::2], change[1::2]
+    if len(stop) < len(start):
+        stop = np.append(stop, len(raw))
+    long, high = np.flatnonzero(stop - start > 24), np.flatnonzero(raw >= 0xE0)
+    if not len(long) and not len(high):
+        return start, stop, 2 * np.arange(len(start) + 1)
+    weight = np.zeros(len(raw), dtype=np.int8)
+    weight[start] = 2
+    if len(long):
+        n = (stop[long] - start[long] - 1) // 24
+        more = np.repeat(start[long], n) + 24 * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1)
+        weight[more[(raw[more] & 0xC0) != 0x80]] = 2
+    if len(high):
+        # UTF-8 lead bytes of Thai to Lao, Myanmar, Khmer, kana and the Han blocks.
+        a, b = raw[high], np.append(raw, np.uint8(0))[high + 1]
+        among = lambda x, lo, hi: (x >= lo) & (x <= hi)
+        wide = among(a, 0xE4, 0xE9) | ((a == 0xE3) & (b >= 0x81)) | ((a == 0xE0) & among(b, 0xB8, 0xBB)) | ((a == 0xE1) & (among(b, 0x80, 0x82) | among(b, 0x9E, 0x9F)))
+        wide |= ((a == 0xEF) & among(b, 0xA4, 0xAB)) | ((a == 0xF0) & among(b, 0xA0, 0xB2))
+        weight[high[wide]] = 1
+    at = np.flatnonzero(weight)
+    ends = stop[np.searchsorted(start, at, "right") - 1]
+    ends[:-1] = np.minimum(ends[:-1], at[1:])
+    return at, ends, np.concatenate([[0], np.cumsum(weight[at], dtype=np.int64)])
+
+
+def chunk_starts(raw: np.ndarray, at: np.ndarray, held: np.ndarray, words: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit numbers where chunks start, and where those that fit end (the latter may be fewer)."""
+    first = np.unique(np.searchsorted(at, cuts(raw, span)))
+    first = first[first < len(at)]
+    last = np.searchsorted(held[1:], held[first] + 2 * words)
+    return first, last[last < len(at)]
+
+
+def chunk_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk_words: int = 24, span: int = 96) -> DataFrame:
+    """One row per document: doc_id, body and the digests of its chunks."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def work(batches):
-        gear = np.random.default_rng(GEAR_SEED).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            out: list[list] = [[], []]
+            out = []
             for body in batch.column(1):
                 raw = (body.as_py() or "").encode("utf-8", "replace")
                 a = np.frombuffer(raw, dtype=np.uint8)
-                ends = cuts(a, gear, least, most, mask)
-                marks = np.array([digest(raw[max(0, j - 32) : j]) for j in ends], dtype=np.uint64)
-                at = np.array(ends, dtype=np.int64) - 1
-                out[0].append(marks.view(np.int64))
-                out[1].append(np.cumsum((a & 0xC0) != 0x80)[at].astype(np.int32) if len(a) else at.astype(np.int32))
-            arrays = [pa.array(v, pa.list_(t)) for v, t in zip(out, (pa.int64(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], ["doc_id", "body", "digests", "stops"])
-
-    return small_batches(docs).select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(work, f"doc_id {kind}, body string, digests array<long>, stops array<int>")
-
-
-def _regions(places: np.ndarray, stops: np.ndarray, reach: int) -> list[tuple[int, int]]:
-    """Runs of anchors with ``reach`` code points before and up to the next cut."""
-    out: list[tuple[int, int]] = []
-    for run in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
-        first, last = int(run[0]), int(run[-1])
-        lo, hi = max(0, int(stops[first - 1]) - reach) if first else 0, int(stops[min(last + 1, len(stops) - 1)])
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], hi)
-        else:
-            out.append((lo, hi))
-    return out
-
-
-def windows(body: str, stops: np.ndarray, places: np.ndarray, min_words: int, min_chars: int) -> list[tuple[int, int]]:
-    """Spans of the shortest windows that are long enough, one from each word on.
-
-    Equal windows are cut alike, so the last cut in a window that occurs again is an
-    anchor; others are left out."""
-    out = []
-    anchor = np.zeros(len(stops) + 1, dtype=bool)  # by the number of cuts so far
-    anchor[places + 1] = True
-    for lo, hi in _regions(places, stops, min_chars):
-        found = [(m.start(), m.end(), m.lastindex) for m in _UNIT.finditer(body, lo, hi)]
-        if found and lo and found[0][0] == lo and found[0][2] != 1 and not body[lo - 1].isspace():
-            found = found[1:]  # a word that the region cuts
-        if found and found[-1][1] == hi < len(body) and found[-1][2] != 1 and not body[hi].isspace():
-            found = found[:-1]
-        if not found:
-            continue
-        start, stop, group = np.array(found, dtype=np.int64).T
-        held = np.concatenate([[0], np.cumsum(_HALVES[group])])
-        by_words = np.searchsorted(held[1:], held[:-1] + 2 * min_words)
-        last = np.minimum(by_words, np.searchsorted(stop, start + min_chars))
-        if last[0] == len(start) and not body[:lo].strip() and not body[hi:].strip():
-            out.append((int(start[0]), int(stop[-1])))  # a short text is one window
-        fits = np.flatnonzero(last < len(start))
-        fits = fits[anchor[np.searchsorted(stops, stop[last[fits]], "right")]]
-        out += zip(start[fits].tolist(), stop[last[fits]].tolist())
-    return out
+                at, ends, held = units(a)
+                first, last = chunk_starts(a, at, held, chunk_words, span)
+                spans = zip(at[first[: len(last)]].tolist(), ends[last].tolist())
+                out.append(np.array([digest(raw[i:j]) for i, j in spans], dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], ["doc_id", "body", "digests"])
+
+    return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(work, f"doc_id {kind}, body string, digests array<long>")
+
+
+def windows(body: str, places: np.ndarray, flags: np.ndarray, min_words: int, chunk_words: int, span: int) -> list[tuple[int, int, bool, int]]:
+    """Windows (start, stop, from a cut, digest; code points) of ``min_words`` words that may occur
+    again: ``places`` are the chunks that do, ``flags`` their LEFT and RIGHT."""
+    raw = body.encode("utf-8", "replace")
+    a = np.frombuffer(raw, dtype=np.uint8)
+    at, ends, held = units(a)
+    first, last = chunk_starts(a, at, held, chunk_words, span)
+    mark = np.zeros(len(at) + 1, dtype=np.int32)  # +1 and -1 where a range of starts begins and ends
+
+    def add(lo: np.ndarray, hi: np.ndarray) -> None:
+        np.add.at(mark, lo, 1)
+        np.add.at(mark, np.maximum(lo, hi), -1)
+
+    # Near the border of a passage cuts depend on what lies beyond: the first that is common to
+    # all its occurrences is at most ``reach`` bytes from its start, and so it is at its end.
+    reach = span + 16
+    add(first[places], first[places] + 1)
+    left, right = places[(flags & LEFT) > 0], places[((flags & RIGHT) > 0) | (places == len(last) - 1)]
+    add(np.searchsorted(at, at[first[left]] - reach), first[left])
+    beyond = np.searchsorted(at, at[first[right]] + reach + 16)
+    until = np.minimum(len(at) - 1, np.searchsorted(held[1:], held[np.minimum(beyond, len(at))] + 2 * chunk_words))
+    begin = lambda end: np.maximum(0, np.searchsorted(held, held[end + 1] - 2 * min_words, "right") - 1)
+    add(begin(last[right]), begin(until) + 1)
+    some = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+    stop = np.searchsorted(held[1:], held[some] + 2 * min_words)
+    some, stop = some[stop < len(at)], stop[stop < len(at)]
+    # A window that occurs again holds a chunk that does, and no other beyond the reach of its borders.
+    hit = np.zeros(len(last), dtype=np.int64)
+    hit[places] = 1
+    hit = np.concatenate([[0], np.cumsum(hit)])
+    start = at[first[: len(last)]]
+    hi = np.searchsorted(last, stop, "right")
+    lo = np.minimum(hi, np.searchsorted(start, at[some]))
+    inner_hi = np.minimum(hi, np.searchsorted(start, ends[stop] - reach))
+    inner_lo = np.minimum(inner_hi, np.searchsorted(start, at[some] + reach + 16))
+    good = (hit[hi] > hit[lo]) & (hit[inner_hi] - hit[inner_lo] == inner_hi - inner_lo)
+    some, stop = some[good], stop[good]
+    points = np.cumsum((a & 0xC0) != 0x80)
+    cut = np.isin(some, first)
+    begun, ended = at[some], ends[stop]
+    marks = [xxhash.xxh3_64_intdigest(raw[i:j], 1) for i, j in zip(begun.tolist(), ended.tolist())]
+    return list(zip((points[begun] - 1).tolist(), points[ended - 1].tolist(), cut.tolist(), marks))
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[dict]:
@@ -131,55 +189,56 @@ def _joined(spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 24, min_chars: int = 240, least: int = 1, most: int = 64) -> DataFrame:
+def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 50, chunk_words: int = 24, span: int = 96) -> DataFrame:
     """One row per document: doc_id, n_chunks, n_repeated, repeated and removable.
 
-    ``n_repeated`` counts chunks inside passages found elsewhere; ``repeated`` and
-    ``removable`` are arrays of struct(start, stop) in code points.
+    ``n_repeated`` counts the chunks at which a window found elsewhere starts; ``repeated``
+    and ``removable`` are arrays of struct(start, stop) in code points.
     """
-    rows = materialise(chunk_table(docs, text, doc_id, least, most).withColumn("row", F.monotonically_increasing_id()), "chunks")
-    each = rows.select("row", F.posexplode("digests").alias("place", "digest"))
-    many = materialise(each.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "repeats")
-    anchors = each.join(many, "digest").groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    rows = materialise(chunk_table(docs, text, doc_id, chunk_words, span).withColumn("row", F.monotonically_increasing_id()), "chunks")
+    # The chunks before and after, half of their bits each: where they differ, bits do.
+    half = F.lit(0xFFFFFFFF).cast("long")
+    side = lambda i: F.coalesce(F.get("digests", i), F.lit(0).cast("long")).bitwiseAND(half)
+    beside = lambda i: side(i - 1).bitwiseOR(F.shiftleft(side(i + 1), 32))
+    each = rows.select("row", F.inline(F.transform("digests", lambda d, i: F.struct(d.alias("digest"), i.alias("place"), beside(i).alias("beside")))))
+    counts = each.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.bit_and("beside").alias("low"), F.bit_or("beside").alias("high"))
+    apart = F.col("low").bitwiseXOR(F.col("high"))
+    flags = F.when(apart.bitwiseAND(half) != 0, LEFT).otherwise(0) + F.when(F.shiftrightunsigned(apart, 32) != 0, RIGHT).otherwise(0)
+    many = materialise(counts.filter("n > 1").select("digest", flags.cast("byte").alias("flags")), "repeats")
+    # A place and its flags in one number; a document's list is bounded by its text.
+    hit = F.col("place") * 4 + F.col("flags")
+    hits = rows.select("row", F.posexplode("digests").alias("place", "digest")).join(many, "digest").groupBy("row").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
 
     def near(batches):
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            row, start, stop, mark = [], [], [], []
-            for i, body, stops, places in zip(*batch.columns):
-                body = body.as_py()
-                for a, b in windows(body, np.asarray(stops.as_py()), np.asarray(places.as_py()), min_words, min_chars):
-                    row.append(i.as_py())
-                    start.append(a)
-                    stop.append(b)
-                    mark.append(digest(body[a:b].encode("utf-8", "replace")))
-            marks = pa.array(np.array(mark, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), marks], ["row", "start", "stop", "digest"])
-
-    found = rows.select("row", "body", "stops").join(anchors, "row").mapInArrow(near, "row long, start int, stop int, digest long")
-    found = materialise(found, "windows")
-    again = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-    shared = materialise(found.join(again, "digest").join(rows.select("row", "doc_id"), "row"), "shared")
-    first = shared.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "start")).alias("f"))
-    marked = shared.join(first, "digest").select("row", "start", "stop", ((F.col("f.row") != F.col("row")) | (F.col("f.start") != F.col("start"))).alias("later"))
-    by_doc = marked.groupBy("row").agg(F.collect_list(F.struct("start", "stop", "later")).alias("hits"))
-
-    @F.pandas_udf("n_repeated long, repeated array<struct<start:int,stop:int>>, removable array<struct<start:int,stop:int>>")
-    def spans(hits, stops):
-        out = []
-        for h, s in zip(hits, stops):
-            if h is None:
-                out.append((0, [], []))
-                continue
-            every = _joined([(x["start"], x["stop"]) for x in h])
-            s = np.asarray(s)
-            begun = np.concatenate([[0], s[:-1]])
-            held = sum(int(max(0, np.searchsorted(s, x["stop"], "right") - np.searchsorted(begun, x["start"]))) for x in every)
-            out.append((held, every, _joined([(x["start"], x["stop"]) for x in h if x["later"]])))
-        return pd.DataFrame(out, columns=["n_repeated", "repeated", "removable"])
-
-    out = rows.select("row", "doc_id", "stops").join(by_doc, "row", "left").withColumn("s", spans("hits", "stops"))
-    return out.select("doc_id", F.size("stops").cast("long").alias("n_chunks"), "s.n_repeated", "s.repeated", "s.removable")
+            out: list[list] = [[], [], [], [], []]
+            for i, body, found in zip(*batch.columns):
+                found = np.asarray(found.as_py(), dtype=np.int64)
+                for w in windows(body.as_py(), found // 4, found % 4, min_words, chunk_words, span):
+                    for to, value in zip(out, (i.as_py(), *w)):
+                        to.append(value)
+            arrays = [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.array(out[4], dtype=np.uint64).view(np.int64))], ["row", "start", "stop", "cut", "digest"])
+
+    found = materialise(rows.select("row", "body").join(hits, "row").mapInArrow(near, "row long, start int, stop int, cut boolean, digest long"), "windows")
+    discard(many)
+    # The first occurrence is the one of the smallest doc_id; one number for each row says so.
+    named = found.groupBy("row").agg(F.count(F.lit(1)).alias("n")).join(rows.select("row", "doc_id"), "row").select("row", "doc_id")
+    first = found.join(named, "row").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "start")).alias("f"))
+    first = first.filter("n > 1").select("digest", F.col("f.row").alias("first_row"), F.col("f.start").alias("first_start"))
+    later = (F.col("first_row") != F.col("row")) | (F.col("first_start") != F.col("start"))
+    by_row = found.join(first, "digest").groupBy("row").agg(F.sum(F.col("cut").cast("long")).alias("n_repeated"), F.collect_list(F.struct("start", "stop", later.alias("later"))).alias("found"))
+
+    @F.pandas_udf("repeated array<struct<start:int,stop:int>>, removable array<struct<start:int,stop:int>>")
+    def spans(lists):
+        some = [[] if h is None else h for h in lists]
+        return pd.DataFrame({
+            "repeated": [_joined([(x["start"], x["stop"]) for x in h]) for h in some],
+            "removable": [_joined([(x["start"], x["stop"]) for x in h if x["later"]]) for h in some],
+        })
+
+    out = rows.select("row", "doc_id", F.size("digests").cast("long").alias("n_chunks")).join(by_row, "row", "left").withColumn("s", spans("found"))
+    return out.select("doc_id", "n_chunks", F.coalesce("n_repeated", F.lit(0).cast("long")).alias("n_repeated"), "s.repeated", "s.removable")
 
 
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

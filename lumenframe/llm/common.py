@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,8 +16,8 @@ _LOCAL_ROOTS: dict[str, str] = {}
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a single-JVM session (tests) may leave it unset; it then gets a
-    temporary folder, which on one machine every task can see.
+    Only a single-JVM session may leave it unset; it then gets a temporary folder,
+    which on one machine every task can see and which goes with the process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
@@ -26,41 +28,55 @@ def checkpoint_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="lumenframe-")
+        atexit.register(shutil.rmtree, _LOCAL_ROOTS[app], ignore_errors=True)
     return _LOCAL_ROOTS[app]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, *spent: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
     A lost executor costs nothing that was written, and rows, partition ids and
-    random choices made on the way are fixed from now on.
+    random choices made on the way are fixed from now on. Python stages of the job take
+    Arrow batches of 8 MB if the session sets no size: texts grow about fivefold in Python.
+    ``spent`` are tables made here that nothing reads any more; they are deleted.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/lumenframe-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
+    conf, name = spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = conf.get(name) == "67108864b"
+    try:
+        if usual:
+            conf.set(name, "8m")
+        df.write.parquet(path, compression="zstd")
+    finally:
+        if usual:
+            conf.unset(name)
+    for table in spent:
+        discard(table)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumenframe_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`materialise` that nothing reads any more."""
     path = getattr(df, "_lumenframe_path", None)
     if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
+        _delete(df.sparkSession, path)
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose Python stages get batches of 8 MB unless the session asks for another size.
 
-    Texts grow about fivefold in Python; the default of 64 MB a batch and worker is much
-    beside a small executor's heap."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(name, None) == "67108864b":
-        conf.set(name, "8m")
-    return df
+def release(df: DataFrame) -> None:
+    """Delete all tables made by :func:`materialise` that ``df`` reads: call it once the
+    result of an operator is written or used up. Other inputs stay."""
+    paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for path in paths:
+        if path.rsplit("/", 1)[1].startswith("lumenframe-"):
+            _delete(df.sparkSession, path)
 
 
 def packed(df: DataFrame, **extra: Column) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -84,6 +85,28 @@ def test_written_tables(spark):
     common.discard(df)
     with pytest.raises(Exception):
         df.count()
+    one, two = common.materialise(spark.range(5), "t"), common.materialise(spark.range(3), "t")
+    three = common.materialise(one.join(two, "id"), "t", two)
+    assert three.count() == 3 and one.count() == 5
+    with pytest.raises(Exception):
+        two.count()
+    common.release(three.join(one, "id").select("id"))
+    for gone in (one, three):
+        with pytest.raises(Exception):
+            gone.count()
+
+
+def test_python_stages_of_written_tables_take_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    wide = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 8000).alias("t"))
+    before = spark.conf.get(name)
+    most = common.materialise(wide.mapInArrow(sizes, "n long"), "t").agg(F.max("n")).first()[0]
+    assert most <= 1200 and spark.conf.get(name) == before
+    assert wide.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] > 3000
 
 
 def test_clashing_columns(spark):
@@ -569,71 +592,108 @@ def test_simhash_components(spark, docs, empty):
 
 
 # -- 9 substrings ----------------------------------------------------------
-def test_chunks_cover_and_resist_shifts():
+def test_cuts_resist_shifts_and_leave_no_gap():
     rng = random.Random(6)
-    gear = np.random.default_rng(chunks.GEAR_SEED).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
-    raw = make_text(rng, 2000).encode()
-
-    def cut(data):
-        ends = chunks.cuts(np.frombuffer(data, dtype=np.uint8), gear, 12, 512)
-        return [data[a:b] for a, b in zip([0, *ends], ends)]
-
-    parts = cut(raw)
-    assert b"".join(parts) == raw and max(map(len, parts)) <= 512
-    shifted = cut(b"inserted words " + raw)
-    assert len(set(parts) & set(shifted)) >= 0.98 * len(set(parts))
-    for end in np.cumsum([len(p) for p in parts])[:-1]:  # a cut depends on the 16 bytes before it
-        h = 0
-        for byte in raw[max(0, end - 16) : end]:
-            h = ((h << 1) + int(gear[byte])) & 0xFFFFFFFF
-        assert (h >> 11) & 31 == 0
-    assert cut(b"") == [] and len(cut(b"a" * 2000)) >= 3
-
-
-def test_repeated_passages(spark, empty):
+    raw = make_text(rng, 4000).encode()
+    cut = lambda data, **o: chunks.cuts(np.frombuffer(data, dtype=np.uint8), 96, **o)
+    ends = cut(raw)
+    assert ends[0] == 0 and np.diff(ends).max() <= 96 and len(raw) / len(ends) > 40
+    assert np.array_equal(ends, cut(raw, block=1000))
+    moved = cut(b"inserted words " + raw) - 15
+    assert set(ends[ends > 112]) <= set(moved.tolist())
+    for data in (b"", b"a", b"a" * 95, b"a" * 3000, b"ab " * 3000, b"\n" * 500):
+        ends = cut(data)
+        assert ends[0] == 0 and (len(data) < 200 or np.diff(ends).max() <= 96) and len(ends) <= 2 + len(data) / 3
+    for at in cut(raw)[1:]:  # the least hash of the bytes near it, by its own 16 bytes
+        def hash_at(i):
+            h = 0
+            for byte in raw[max(0, i - 16) : i]:
+                h = ((h << 1) + int(chunks.GEAR[byte])) & 0xFFFFFFFF
+            return h
+        near = [hash_at(i) for i in range(max(1, at - 95), min(len(raw), at + 95) + 1)]
+        mine = near.index(hash_at(at))
+        assert any(min(near[j : j + 96]) == near[mine] for j in range(max(0, mine - 95), mine + 1))
+        if at > 3000:
+            break
+
+
+def test_units():
+    text = "one  two\tthree 漢字かな x" + "y" * 60 + " กขค é"
+    at, ends, held = chunks.units(np.frombuffer(text.encode(), dtype=np.uint8))
+    got = [text.encode()[a:b].decode() for a, b in zip(at, ends)]
+    assert got == ["one", "two", "three", "漢", "字", "か", "な", "x" + "y" * 23, "y" * 24, "y" * 13, "ก", "ข", "ค", "é"]
+    assert np.diff(held).tolist() == [2, 2, 2, 1, 1, 1, 1, 2, 2, 2, 1, 1, 1, 2]
+    assert [len(x) for x in chunks.units(np.frombuffer(b" \n", dtype=np.uint8))] == [0, 0, 1]
+
+
+def brute_passages(rows, min_words=50):
+    """Spans of all windows of ``min_words`` words that occur again, joined; and those not first."""
+    seen, spans = {}, []
+    for key, (doc, text) in enumerate(rows):
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+        for i in range(len(words) - min_words + 1):
+            seen.setdefault(text[words[i][0] : words[i + min_words - 1][1]], []).append((doc, key, words[i][0], words[i + min_words - 1][1]))
+    for places in seen.values():
+        if len(places) > 1:
+            spans += [(*p, p != min(places)) for p in places]
+    join = lambda some: [(x["start"], x["stop"]) for x in chunks._joined(some)]
+    of = lambda key, later: join([(s[2], s[3]) for s in spans if s[1] == key and s[4] >= later])
+    return [(of(key, False), of(key, True)) for key in range(len(rows))]
+
+
+def passage_rows():
+    """Planted passages of 40 to 90 words, some inside longer ones, edits, whole copies, repeats inside a text."""
     rng = random.Random(8)
-    passage = make_text(rng, 60)
-    plain = [make_text(rng, 150) for _ in range(30)]
-    rows = [(i, t) for i, t in enumerate(plain)]
-    rows += [(100 + i, f"{make_text(rng, 40 + i)} {passage} {make_text(rng, 30)}") for i in range(25)] + [(200, plain[3]), (201, None), (202, ""), (203, "é " * 3), (300, passage), (300, passage)]
-    out = {}
-    for r in chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
-        out.setdefault(r["doc_id"], []).append(r)
-    texts = dict(rows)
-    for i in range(25):
-        r = out[100 + i][0]
-        assert r["repeated"], i
-        inside = " ".join(texts[100 + i][s["start"] : s["stop"]] for s in r["repeated"])
-        assert len(inside) > 0.5 * len(passage)
-    assert not out[100][0]["removable"]
-    assert all(out[100 + i][0]["removable"] for i in range(1, 25))
-    assert all(not out[i][0]["repeated"] for i in range(30) if i != 3)
-    assert out[3][0]["repeated"] and not out[3][0]["removable"] and out[200][0]["removable"]
-    assert out[201][0]["n_chunks"] == 0 and out[202][0]["n_chunks"] == 0 and len(out[300]) == 2
+    rows = [(i, make_text(rng, rng.randint(1, 260))) for i in range(30)]
+    passages = [make_text(rng, n) for n in (40, 49, 50, 51, 52, 55, 60, 75, 90)]
+    for i in range(60):
+        p = passages[i % 9]
+        if i >= 40:  # a part of a passage: other documents hold more of it
+            words = p.split()
+            p = " ".join(words[rng.randint(0, 10) : len(words) - rng.randint(0, 10)])
+        rows.append((100 + i, f"{make_text(rng, rng.randint(1, 60))} {p}{rng.choice([' ', chr(10), '  '])}{make_text(rng, rng.randint(1, 60))}"))
+    words = rows[3][1].split() + make_text(rng, 200).split()
+    rows += [(300, " ".join(words)), (301, " ".join(words)), (302, " ".join(words[:90] + ["edit"] + words[91:])), (303, " ".join(words[20:140] + words[20:140]))]
+    rows += [(400, None), (401, ""), (402, "é " * 3), (403, make_text(rng, 49)), (404, passages[0]), (405, passages[0]), (406, "go " * 130), (407, make_text(rng, 9000) + " " + passages[6])]
+    return rows
+
+
+def test_repeated_passages_are_those_of_all_windows(spark, empty):
+    rows = passage_rows()
+    want = brute_passages(rows)
+    got = chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("x")).repartition(3)).collect()
+    assert len(got) == len(rows) and sum(bool(w[0]) for w in want) > 40
+    for (doc, _), (repeated, removable) in zip(rows, want):
+        r = next(x for x in got if x["doc_id"] == doc)
+        assert [tuple(s) for s in r["repeated"]] == repeated, doc
+        assert [tuple(s) for s in r["removable"]] == removable, doc
+        assert (r["n_repeated"] > 0) <= bool(repeated) and r["n_repeated"] <= r["n_chunks"]
     assert chunks.repeated_passages(empty).collect() == []
 
 
-def test_short_passages_are_found_exactly(spark):
-    """Passages just over 24 words, texts without spaces and short texts that repeat whole."""
+def test_passages_of_rows_that_repeat(spark):
+    passage = make_text(random.Random(3), 70)
+    df = spark.createDataFrame([(7, passage), (7, passage), (None, passage), (9, "short")], "doc_id long, text string")
+    out = chunks.repeated_passages(df).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == ["7", "7", "9", "None"]
+    assert sum(bool(r["removable"]) for r in out) == 2 and sum(bool(r["repeated"]) for r in out) == 3
+
+
+def test_passages_without_spaces(spark):
     rng, rows, want = random.Random(12), [], {}
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(3, 8)))
-    prose = lambda n: " ".join(word() for _ in range(n))
     han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(n))
-    for i in range(200):
-        passage = prose(26 + i % 30) if i % 4 else han(150)
+    for i in range(40):
+        passage = han(101 + 2 * i)
         for k in (0, 1):
-            head, tail = (prose(20 + k), prose(15)) if i % 4 else (han(60 + k), han(50))
-            head, tail = (head + " ", " " + tail) if i % 4 else (head, tail)
+            head, tail = han(60 + k), han(50)
             want[2 * i + k] = (len(head), len(head) + len(passage))
             rows.append((2 * i + k, head + passage + tail))
-    rows += [(1000, "Only a few words here."), (1001, "Only a few words here."), (1002, "Some other few words."), (1003, prose(23))]
+    blob = "".join(rng.choice("0123456789abcdef") for _ in range(3000))
+    rows += [(500, blob), (501, blob)]
     out = {r["doc_id"]: r for r in chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, span in want.items():
         assert [tuple(s) for s in out[i]["repeated"]] == [span], i
-        assert [tuple(s) for s in out[i]["removable"]] == ([span] if i % 2 else []), i
-    assert [tuple(s) for s in out[1001]["removable"]] == [(0, 22)] and out[1000]["repeated"] and not out[1000]["removable"]
-    assert not out[1002]["repeated"] and not out[1003]["repeated"]
+    assert out[500]["repeated"] and not out[500]["removable"] and out[501]["removable"]
 
 
 def test_passages_are_cut_once(spark, empty):
@@ -644,7 +704,12 @@ def test_passages_are_cut_once(spark, empty):
     rows += [(50, make_text(rng, 40), "en", "s", 0), (51, None, "en", "s", 0)]
     out = {r["doc_id"]: r["text"] for r in chunks.without_repeats(spark.createDataFrame(rows, DOCS)).collect()}
     assert out[0] == rows[0][1] and out[50] == rows[6][1] and out[51] is None
-    assert all(len(out[i]) < len(rows[i][1]) - len(passage) / 2 for i in range(1, 6))
+    for row, (_, spans) in zip(rows, brute_passages([r[:2] for r in rows])):
+        kept, at = "", 0
+        for start, stop in spans:
+            kept, at = kept + row[1][at:start], stop
+        assert out[row[0]] == (row[1] and kept + row[1][at:])
+    assert all(passage not in out[i] for i in range(1, 6))
     assert chunks.without_repeats(empty).collect() == []
 
 
