@@ -6,12 +6,13 @@ cut alike, and no stretch of ``span`` bytes is without a cut. From each cut a ch
 ``chunk_words`` words; chunks vary in bytes, overlap, and are counted by digest over the corpus.
 
 A passage repeats where ``min_words`` words in a row occur again. Such windows are counted by
-a second digest where their chunks recur: from every cut, and from every word near a chunk
-that has other neighbours elsewhere, as there a passage may begin or end. So the spans
-reported are those of comparing all windows, with exact borders, as long as ``min_words``
-words hold a chunk and ``span`` + 16 bytes; that is so for 4.4 bytes a word, spaces included.
-A report needs equality of two 64-bit digests. Windows that have an earlier occurrence (by
-doc_id, then row and place) are removable.
+a second digest where their chunks recur: from every cut, and from every word near a chunk that
+has other neighbours elsewhere, where a passage may begin or end: by the documents whose run of
+known chunks ends there, and by the first and last that hold the chunk. So the spans reported are those
+of comparing all windows, with exact borders, as long as ``min_words`` words hold a chunk and
+``span`` + 16 bytes (4.8 bytes a word, spaces included); where three or more documents overlap
+in different ways a border may lie a chunk within. A report needs equality of two 64-bit
+digests. Windows that have an earlier occurrence (by doc_id, then row and place) are removable.
 
 Words end at ASCII white space; in scripts without spaces two characters count as a word, and
 words beyond 24 bytes as several. Repeats inside a document count as well. Null, empty and
@@ -29,11 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, packed, replace_spans, unpacked
+from .common import materialise, packed, replace_spans, sweep, unpacked
 
 GEAR = np.random.default_rng(20240501).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _SOLID = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
-LEFT, RIGHT = 1, 2  # other chunks before, after
+LEFT, RIGHT, OUTER = 1, 2, 4  # other chunks before, after; this is the first or last row that holds it
 
 
 def _sliding(best, values: np.ndarray, span: int) -> np.ndarray:
@@ -115,7 +116,7 @@ def chunk_starts(raw: np.ndarray, at: np.ndarray, held: np.ndarray, words: int,
     return first, last[last < len(at)]
 
 
-def chunk_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk_words: int = 24, span: int = 96) -> DataFrame:
+def chunk_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk_words: int = 20, span: int = 128) -> DataFrame:
     """One row per document: doc_id, body and the digests of its chunks."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -137,7 +138,7 @@ def chunk_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chu
 
 def windows(body: str, places: np.ndarray, flags: np.ndarray, min_words: int, chunk_words: int, span: int) -> list[tuple[int, int, bool, int]]:
     """Windows (start, stop, from a cut, digest; code points) of ``min_words`` words that may occur
-    again: ``places`` are the chunks that do, ``flags`` their LEFT and RIGHT."""
+    again: ``places`` are the chunks that do, ``flags`` their LEFT, RIGHT and OUTER."""
     raw = body.encode("utf-8", "replace")
     a = np.frombuffer(raw, dtype=np.uint8)
     at, ends, held = units(a)
@@ -152,7 +153,11 @@ def windows(body: str, places: np.ndarray, flags: np.ndarray, min_words: int, ch
     # all its occurrences is at most ``reach`` bytes from its start, and so it is at its end.
     reach = span + 16
     add(first[places], first[places] + 1)
-    left, right = places[(flags & LEFT) > 0], places[((flags & RIGHT) > 0) | (places == len(last) - 1)]
+    alone = np.diff(places, prepend=-2, append=len(first) + 1) > 1
+    ends_run = lambda side, lone: places[((flags & side) > 0) & (lone | ((flags & OUTER) > 0))]
+    left, right = ends_run(LEFT, alone[:-1]), ends_run(RIGHT, alone[1:])
+    if len(places) and places[-1] == len(last) - 1:
+        right = np.append(right, places[-1])  # the text may end with the passage
     add(np.searchsorted(at, at[first[left]] - reach), first[left])
     beyond = np.searchsorted(at, at[first[right]] + reach + 16)
     until = np.minimum(len(at) - 1, np.searchsorted(held[1:], held[np.minimum(beyond, len(at))] + 2 * chunk_words))
@@ -189,45 +194,52 @@ def _joined(spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 50, chunk_words: int = 24, span: int = 96) -> DataFrame:
+def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 50, chunk_words: int = 20, span: int = 128) -> DataFrame:
     """One row per document: doc_id, n_chunks, n_repeated, repeated and removable.
 
     ``n_repeated`` counts the chunks at which a window found elsewhere starts; ``repeated``
     and ``removable`` are arrays of struct(start, stop) in code points.
     """
     rows = materialise(chunk_table(docs, text, doc_id, chunk_words, span).withColumn("row", F.monotonically_increasing_id()), "chunks")
-    # The chunks before and after, half of their bits each: where they differ, bits do.
-    half = F.lit(0xFFFFFFFF).cast("long")
-    side = lambda i: F.coalesce(F.get("digests", i), F.lit(0).cast("long")).bitwiseAND(half)
-    beside = lambda i: side(i - 1).bitwiseOR(F.shiftleft(side(i + 1), 32))
-    each = rows.select("row", F.inline(F.transform("digests", lambda d, i: F.struct(d.alias("digest"), i.alias("place"), beside(i).alias("beside")))))
-    counts = each.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.bit_and("beside").alias("low"), F.bit_or("beside").alias("high"))
-    apart = F.col("low").bitwiseXOR(F.col("high"))
-    flags = F.when(apart.bitwiseAND(half) != 0, LEFT).otherwise(0) + F.when(F.shiftrightunsigned(apart, 32) != 0, RIGHT).otherwise(0)
-    many = materialise(counts.filter("n > 1").select("digest", flags.cast("byte").alias("flags")), "repeats")
+    # Some bits of the chunks before and after, and their complement: a bit that differs
+    # among the occurrences of a chunk is set in both halves of their union.
+    part = F.lit(0xFFFF).cast("long")
+    side = lambda i: F.coalesce(F.get("digests", i), F.lit(0).cast("long")).bitwiseAND(part)
+    beside = lambda i: side(i - 1).bitwiseOR(F.shiftleft(side(i + 1), 16))
+    both = lambda c: c.bitwiseOR(F.shiftleft(F.bitwise_not(c), 32))
+    each = rows.select("row", F.inline(F.transform("digests", lambda d, i: F.struct(d.alias("digest"), both(beside(i)).alias("sides")))))
+    counts = each.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.bit_or("sides").alias("sides"), F.min("row").alias("first_row"), F.max("row").alias("last_row"))
+    apart = F.col("sides").bitwiseAND(F.shiftrightunsigned("sides", 32))
+    flags = F.when(apart.bitwiseAND(part) != 0, LEFT).otherwise(0) + F.when(F.shiftrightunsigned(apart, 16) != 0, RIGHT).otherwise(0)
+    many = materialise(counts.filter("n > 1").select("digest", flags.cast("byte").alias("flags"), "first_row", "last_row"), "repeats")
+    sweep(rows)
     # A place and its flags in one number; a document's list is bounded by its text.
-    hit = F.col("place") * 4 + F.col("flags")
+    hit = F.col("place") * 8 + F.col("flags") + F.when(F.col("row").isin(F.col("first_row"), F.col("last_row")), OUTER).otherwise(0)
     hits = rows.select("row", F.posexplode("digests").alias("place", "digest")).join(many, "digest").groupBy("row").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
 
     def near(batches):
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for i, body, found in zip(*batch.columns):
+            lengths = []
+            for i, body, found in zip(*batch.columns[:3]):
                 found = np.asarray(found.as_py(), dtype=np.int64)
-                for w in windows(body.as_py(), found // 4, found % 4, min_words, chunk_words, span):
-                    for to, value in zip(out, (i.as_py(), *w)):
-                        to.append(value)
+                some = windows(body.as_py(), found // 8, found % 8, min_words, chunk_words, span)
+                lengths.append(len(some))
+                out[0] += [i.as_py()] * len(some)
+                for to, values in zip(out[1:], zip(*some)):
+                    to += values
             arrays = [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.array(out[4], dtype=np.uint64).view(np.int64))], ["row", "start", "stop", "cut", "digest"])
-
-    found = materialise(rows.select("row", "body").join(hits, "row").mapInArrow(near, "row long, start int, stop int, cut boolean, digest long"), "windows")
-    discard(many)
-    # The first occurrence is the one of the smallest doc_id; one number for each row says so.
-    named = found.groupBy("row").agg(F.count(F.lit(1)).alias("n")).join(rows.select("row", "doc_id"), "row").select("row", "doc_id")
-    first = found.join(named, "row").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "start")).alias("f"))
+            ids = batch.column(3).take(pa.array(np.repeat(np.arange(len(lengths)), lengths)))
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.array(out[4], dtype=np.uint64).view(np.int64)), ids], ["row", "start", "stop", "cut", "digest", "doc_id"])
+
+    schema = f"row long, start int, stop int, cut boolean, digest long, doc_id {rows.schema['doc_id'].dataType.simpleString()}"
+    found = rows.select("row", "body", "doc_id").join(hits, "row").select("row", "body", "hits", "doc_id").mapInArrow(near, schema)
+    found = materialise(found, "windows", many)
+    sweep(rows)
+    first = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "start")).alias("f"))
     first = first.filter("n > 1").select("digest", F.col("f.row").alias("first_row"), F.col("f.start").alias("first_start"))
     later = (F.col("first_row") != F.col("row")) | (F.col("first_start") != F.col("start"))
-    by_row = found.join(first, "digest").groupBy("row").agg(F.sum(F.col("cut").cast("long")).alias("n_repeated"), F.collect_list(F.struct("start", "stop", later.alias("later"))).alias("found"))
+    by_row = found.drop("doc_id").join(first, "digest").groupBy("row").agg(F.sum(F.col("cut").cast("long")).alias("n_repeated"), F.collect_list(F.struct("start", "stop", later.alias("later"))).alias("found"))
 
     @F.pandas_udf("repeated array<struct<start:int,stop:int>>, removable array<struct<start:int,stop:int>>")
     def spans(lists):

@@ -79,6 +79,12 @@ def release(df: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def sweep(df: DataFrame) -> None:
+    """Have the driver collect its garbage. Shuffle files of jobs that are over go with it, so
+    disk is bounded by an operator's largest step, not by the sum of its steps."""
+    df.sparkSession._jvm.System.gc()
+
+
 def packed(df: DataFrame, **extra: Column) -> DataFrame:
     """``df`` as one struct column ``row`` beside ``extra``, so that no name can clash."""
     row = F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns])
