@@ -117,7 +117,7 @@ def chunk_starts(raw: np.ndarray, at: np.ndarray, held: np.ndarray, words: int,
 
 
 def chunk_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk_words: int = 20, span: int = 128) -> DataFrame:
-    """One row per document: doc_id, body and the digests of its chunks."""
+    """One row per document: doc_id, the hashes of it (k) and of its text (t), the digests of its chunks."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def work(batches):
@@ -131,9 +131,14 @@ def chunk_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chu
                 first, last = chunk_starts(a, at, held, chunk_words, span)
                 spans = zip(at[first[: len(last)]].tolist(), ends[last].tolist())
                 out.append(np.array([digest(raw[i:j]) for i, j in spans], dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], ["doc_id", "body", "digests"])
+            columns = [batch.column(i) for i in (0, 2, 3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.list_(pa.int64()))], ["doc_id", "k", "t", "digests"])
 
-    return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(work, f"doc_id {kind}, body string, digests array<long>")
+    return docs.select(F.col(doc_id), F.col(text).cast("string"), *_key(doc_id, text)).mapInArrow(work, f"doc_id {kind}, k long, t long, digests array<long>")
+
+
+def _key(doc_id: str, text: str) -> list:
+    return [F.xxhash64(doc_id).alias("k"), F.xxhash64(F.col(text).cast("string")).alias("t")]
 
 
 def windows(body: str, places: np.ndarray, flags: np.ndarray, min_words: int, chunk_words: int, span: int) -> list[tuple[int, int, bool, int]]:
@@ -233,7 +238,10 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.array(out[4], dtype=np.uint64).view(np.int64)), ids], ["row", "start", "stop", "cut", "digest", "doc_id"])
 
     schema = f"row long, start int, stop int, cut boolean, digest long, doc_id {rows.schema['doc_id'].dataType.simpleString()}"
-    found = rows.select("row", "body", "doc_id").join(hits, "row").select("row", "body", "hits", "doc_id").mapInArrow(near, schema)
+    # Texts move once, by their key; rows that repeat whole share one.
+    hits = hits.join(rows.select("row", "doc_id", "k", "t"), "row")
+    bodies = docs.select(*_key(doc_id, text), F.col(text).cast("string").alias("body")).dropDuplicates(["k", "t"])
+    found = bodies.join(hits, ["k", "t"]).select("row", "body", "hits", "doc_id").mapInArrow(near, schema)
     found = materialise(found, "windows", many)
     sweep(rows)
     first = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "start")).alias("f"))
