@@ -138,17 +138,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = materialise(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges"
     )
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    # Both sides of these joins grow with the edges: no side is broadcast.
+    first = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
+    labels = materialise(first.withColumn("old", F.col("node")), "labels")
     for _ in range(max_rounds):
-        seen = both.join(labels, both.b == labels.node).select(both.a.alias("node"), "component")
-        best = seen.union(labels.select("node", "component")).groupBy("node").agg(F.min("component").alias("component"))
+        seen = both.join(labels.hint("merge"), both.b == labels.node).select(both.a.alias("node"), "component", F.lit(None).cast("long").alias("old"))
+        own = labels.select("node", "component", F.col("component").alias("old"))
+        best = seen.union(own).groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old"))
         up = best.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        jumped = best.join(up, "component", "left").select("node", F.least(F.coalesce("top", "component"), "component").alias("component"))
-        new = materialise(jumped, "labels")
-        moved = new.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old").limit(1).count()
-        discard(labels)
-        labels = new
-        if not moved:
+        jumped = best.join(up.hint("merge"), "component", "left").select("node", F.least(F.coalesce("top", "component"), "component").alias("component"), "old")
+        labels = materialise(jumped, "labels", labels)
+        if not labels.filter("component <> old").limit(1).count():
             discard(both)
-            return labels
+            return labels.select("node", "component")
     raise RuntimeError("components did not settle; raise max_rounds")

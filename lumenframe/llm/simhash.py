@@ -13,7 +13,8 @@ fingerprints within two bits share a variant, one variant has at most 65 owners,
 no group is ever listed as pairs.
 
 A null text has no words; texts without words have fingerprint zero and link like any
-other; texts of one or two words are one shingle. Repeated rows each give a row.
+other; texts of one or two words are one shingle. Repeated rows each give a row. Null ids
+come after all others. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -164,7 +165,7 @@ def links(fps: DataFrame, radius: int = 2, small: int = 64) -> DataFrame:
     keyed = fps.select("fp", F.explode(probe_keys(F.col("fp"), plan)).alias("k")).select("fp", "k.kind", "k.v")
     # Keys with one owner lead nowhere; the others are told apart by size before they meet.
     counts = materialise(keyed.groupBy("kind", "v").agg(F.count(F.lit(1)).alias("owners")).filter("owners > 1"), "keys")
-    shared = materialise(keyed.join(counts, ["kind", "v"]), "probes")
+    shared = materialise(keyed.join(counts.hint("merge"), ["kind", "v"]), "probes", counts)
 
     def verify(batches):
         for batch in batches:
@@ -195,14 +196,25 @@ def links(fps: DataFrame, radius: int = 2, small: int = 64) -> DataFrame:
     return cold.union(hot).distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 2, hot: int = 1000) -> DataFrame:
     """One row per document: doc_id, text_hash, fp, component_id (smallest reachable
-    doc_id) and first_hash (the text hash of that document; the smallest, if ids repeat)."""
+    doc_id) and first_hash (the text hash of that document; the smallest, if ids repeat).
+
+    Null ids come last: a component has a null id only if all its documents do.
+    Fingerprints that one in ``hot`` documents or more hold are ``hot`` at most; they meet their
+    documents by broadcast, so that no task gets all copies of a text."""
     marks = materialise(fingerprints(docs, text, doc_id), "fingerprints")
-    classes = materialise(marks.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")), "classes")
+    one = F.struct("doc_id", "text_hash")
+    least = lambda c: F.coalesce(F.min(F.when(c["doc_id"].isNotNull(), c)), F.min(c))
+    classes = materialise(marks.groupBy("fp").agg(least(one).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
+    total = classes.agg(F.sum("copies")).first()[0] or 0
     roots = components(links(classes.select("fp"), radius))
-    named = roots.join(classes, roots.node == classes.fp).select("node", "component", "first")
-    least = named.groupBy("component").agg(F.min("first").alias("least"))
-    found = named.join(least, "component").select(F.col("node").alias("fp"), "least")
-    classes = classes.join(found, "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
-    return marks.join(classes, "fp").select("doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("first_hash"))
+    named = roots.join(classes.hint("merge"), roots.node == classes.fp).select("node", "component", "first")
+    lowest = named.groupBy("component").agg(least(F.col("first")).alias("least"))
+    found = named.join(lowest.hint("merge"), "component").select(F.col("node").alias("fp"), "least")
+    classes = classes.join(found.hint("merge"), "fp", "left").select("fp", F.coalesce("least", "first").alias("first"), "copies")
+    classes = materialise(classes, "components")
+    many = F.broadcast(classes.filter(F.col("copies") * hot >= total).select("fp", "first"))  # at most `hot` rows
+    rest = marks.join(many.select("fp"), "fp", "left_anti").join(classes.filter(F.col("copies") * hot < total).drop("copies").hint("merge"), "fp")
+    both = marks.join(many, "fp").unionByName(rest)
+    return both.select("doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("first_hash"))
