@@ -1,17 +1,20 @@
 """Main text of web pages by text-to-tag ratio over parser events.
 
 The standard library's parser streams events; blocks (the "lines") end at block tags.
-A block's ratio is its unlinked text over its tags, 0 inside elements that are page
-furniture by tag, role or class. Ratios are smoothed along the page with a Gaussian
-and clustered by a threshold on them; the region of a selected block is its container,
-so that short paragraphs beside long ones stay. Lists, tables and quotations in a region or
-between selected blocks belong to it, except blocks that are mostly links. If the page
-names its article, regions lie within it. A form or fieldset around the article or nearly
-all text is no furniture; its controls are.
-
+A block's ratio is its unlinked text over its tags. Evidence lowers it: each element around
+the block that is page furniture by tag, class or id takes it down to a hundredth, relative
+to the blocks with least evidence, so that a wrapper around everything says nothing. Ratios
+are smoothed along the page with a Gaussian and clustered by a threshold on them; the region
+of a selected block is its container, so that short paragraphs beside long ones stay. Lists,
+tables and quotations in a region or between selected blocks belong to it, except blocks that
+are mostly links. If the page names its article, regions lie within it. A form or fieldset
+around the article or nearly all text is no evidence; its controls are never text.
+
+Scripts, styles, controls and inline furniture inside a block do not split it. A comment or
+tag that is still open where the page ends goes with what it holds, as in a browser.
 A null or empty page, and one without content, gives an empty text. White space inside
 a block becomes one space; blocks are joined by two line breaks in page order.
-Repeated rows each give a row; extra columns are kept by ``extract``.
+Repeated rows each give a row; an empty table gives none; work is linear in the page.
 """
 
 from __future__ import annotations
@@ -23,14 +26,14 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
 
 # HTML elements by role in a page.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 CONTAINERS = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form header hgroup html main menu nav ol pre section table ul".split())
 NESTED = frozenset("blockquote details dl figure ol pre table ul".split())  # part of what they stand in
-FURNITURE = frozenset("aside button datalist dialog fieldset footer form head header iframe input label menu nav noscript object option script select style svg template textarea title".split())
-WRAPPERS = frozenset("fieldset form".split())  # furniture, unless the page or its article lies within
-RARE_WRAPPERS = WRAPPERS | frozenset("aside header object".split())
+NEVER = frozenset("button datalist dialog footer head iframe label menu nav noscript object option script select style svg template textarea title".split())
+FORMS = frozenset("fieldset form".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 WORDS = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies disclaimer disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification pagination paywall popup promo promoted recommended related replies reply respond share sharing sidebar signup sitemap skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
@@ -48,46 +51,74 @@ def _named_furniture(value: str, whole: bool) -> bool:
     return False
 
 
-def _is_furniture(tag: str, attrs: list, inside_article: bool, use_names: bool, wrappers: frozenset = frozenset()) -> bool:
+LIGHT, STRONG = 1, 2  # evidence by name, by tag
+
+
+def _evidence(tag: str, attrs: list, in_article: bool) -> int:
+    """0, LIGHT or STRONG evidence that an element is furniture; -1: it is never text."""
     if tag in ("html", "body", "main"):
-        return False
-    if tag in FURNITURE and tag not in wrappers:
-        return not (tag == "header" and inside_article)
+        return 0
+    if tag in NEVER:
+        return -1
+    found = STRONG if tag == "aside" or (tag == "header" and not in_article) else 0
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return -1
         if value and name == "role" and value.strip().lower() in ROLES:
-            return True
-        if value and use_names and name in ("class", "id") and tag not in HEADINGS and _named_furniture(value, tag == "article"):
-            return True
-    return False
+            return -1
+        if value and name in ("class", "id") and not found and tag not in HEADINGS and _named_furniture(value, tag == "article"):
+            found = LIGHT
+    return found
+
+
+class _Element:
+    """An open element: what it says about the text in it, and the text set aside for it."""
+
+    __slots__ = ("article", "container", "depth", "evidence", "forms", "never", "outer", "silent", "strong", "tag")
+
+    def __init__(self, tag: str, around: _Element | None) -> None:
+        self.tag, self.depth, self.outer = tag, 0, None
+        self.evidence, self.forms, self.container = (around.evidence, around.forms, around.container) if around else (0, 0, 0)
+        self.never, self.article, self.strong = (around.never, around.article, around.strong) if around else (False, False, False)
+        self.silent = bool(around) and around.silent  # not even a line of the page
+
+
+class Block:
+    """A "line" of the page: its text, tags and linked characters, and what stands around it."""
+
+    __slots__ = ("around", "linked", "tags", "text")
+
+    def __init__(self, text: str, tags: int, linked: int, around: _Element) -> None:
+        self.text, self.tags, self.linked, self.around = text, tags, linked, around
 
+    @property
+    def own(self) -> int:
+        return 0 if self.around.never else max(0, len(self.text) - self.linked)
 
-class _Blocks(HTMLParser):
-    """Collects blocks: (text, tags, linked characters, furniture, container, in article)."""
 
-    def __init__(self, use_names: bool = True, wrappers: frozenset = frozenset()) -> None:
+class Page(HTMLParser):
+    """Collects the blocks of a page from parser events."""
+
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.use_names, self.wrappers, self.wrapped = use_names, wrappers, False
-        self.blocks: list[tuple[str, int, int, bool, int, bool]] = []
-        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, furniture, article, number
+        self.blocks: list[Block] = []
+        self.stack = [_Element("", None)]
         self.open: dict[str, int] = {}
         self.up: dict[int, tuple[int, bool]] = {0: (0, False)}  # container: the one around it, is it nested
         self.words: list[str] = []
         self.tags = self.linked = self.links = self.count = 0
 
-    def _pop(self) -> str:
-        tag = self.stack.pop()[0]
-        self.open[tag] -= 1
-        return tag
+    def _pop(self) -> None:
+        gone = self.stack.pop()
+        self.open[gone.tag] -= 1
+        if gone.outer:  # inline furniture: the block around it goes on
+            self.words, self.tags, self.linked = gone.outer
 
     def _end_block(self) -> None:
         if self.words:
             text = " ".join("".join(self.words).split())
             if text:
-                top = next((s for s in reversed(self.stack) if s[0] in CONTAINERS), ("", False, False, 0))
-                furniture = bool(self.stack) and self.stack[-1][1]
-                self.blocks.append((text, self.tags, self.linked, furniture, top[3], bool(self.stack) and self.stack[-1][2]))
+                self.blocks.append(Block(text, self.tags, self.linked, self.stack[-1]))
             self.words = []
         self.tags = self.linked = 0
 
@@ -95,55 +126,79 @@ class _Blocks(HTMLParser):
         block = tag in BLOCKS
         if block:
             self._end_block()
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and self.stack and self.stack[-1][0] == tag:
+            if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and self.stack[-1].tag == tag:
                 self._pop()
-            while self.stack and self.stack[-1][0] == "p":  # a block closes an open paragraph
+            while self.stack[-1].tag == "p":  # a block closes an open paragraph
                 self._pop()
-        if tag == "br":
+        elif tag == "br" and not self.stack[-1].silent:
             self.words.append(" ")
         self.tags += 1
         if tag in VOID:
             return
         if tag == "a":
             self.links += 1
-        outer = self.stack[-1] if self.stack else ("", False, False, 0)
-        furniture = _is_furniture(tag, attrs, outer[2], self.use_names, self.wrappers)
-        self.wrapped |= tag in WRAPPERS
-        if block or furniture:
-            if furniture and not block:
-                self._end_block()
+        outer = self.stack[-1]
+        evidence = _evidence(tag, attrs, outer.article)
+        if not block and not evidence:
+            if outer.tag == tag:
+                outer.depth += 1  # its end tag is not the outer element's
+            return
+        inner = _Element(tag, outer)
+        inner.never |= evidence < 0
+        inner.silent |= evidence < 0 and not block
+        inner.evidence += max(0, evidence)
+        inner.strong |= evidence == STRONG
+        inner.forms += tag in FORMS
+        if tag == "main":
+            inner.evidence, inner.strong = 0, False
+        if tag in ("article", "main"):
+            inner.article, inner.forms = True, 0
+        if tag in CONTAINERS:
             self.count += 1
-            self.open[tag] = self.open.get(tag, 0) + 1
-            if tag in CONTAINERS:
-                around = next((s[3] for s in reversed(self.stack) if s[0] in CONTAINERS), 0)
-                self.up[self.count] = (around, tag in NESTED or outer[0] in ("li", "dt", "dd", "td", "th", "figcaption"))
-            self.stack.append((tag, outer[1] or furniture, outer[2] or tag in ("article", "main"), self.count))
+            self.up[self.count] = (outer.container, tag in NESTED or outer.tag in ("li", "dt", "dd", "td", "th", "figcaption"))
+            inner.container = self.count
+        if not block:
+            inner.outer = (self.words, self.tags, self.linked)
+            self.words, self.tags, self.linked = [], 0, 0
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.stack.append(inner)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag == "a":
             self.links = max(0, self.links - 1)
-        if self.open.get(tag):
+        top = self.stack[-1]
+        if tag not in BLOCKS and top.tag == tag and top.depth:
+            top.depth -= 1
+        elif self.open.get(tag):
+            if tag not in BLOCKS and any(e.tag in BLOCKS for e in self.stack[self._last(tag) :]):
+                return  # an inline end tag closes no block
+            while self.stack[-1].tag != tag:
+                self._end_block()
+                self._pop()
             self._end_block()
-            while self._pop() != tag:
-                pass
+            self._pop()
         elif tag in BLOCKS:
             self._end_block()
 
+    def _last(self, tag: str) -> int:
+        return next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag == tag)
+
     def handle_data(self, data: str) -> None:
-        self.words.append(data)
-        if self.links:
-            self.linked += len(data)
-
-    def read(self, html: str) -> _Blocks:
-        cut = html.rfind("<")
-        if cut > html.rfind(">") and re.match(r"<(?:[a-zA-Z/!?]|$)", html[cut:]):
-            html = html[:cut]  # the page broke off inside a tag
-        start = html.find("<!--", html.rfind("-->") + 1)
-        if start >= 0 and html.rfind("<script", 0, start) <= html.rfind("</script", 0, start):
-            html = html[:start]  # a comment that never ends
+        if not self.stack[-1].silent:
+            self.words.append(data)
+            if self.links:
+                self.linked += len(data)
+
+    def read(self, html: str) -> Page:
         self.feed(html)
+        # What the parser still holds is text, or a comment, tag or script without an end.
+        if self.cdata_elem or re.match(r"<(?:[a-zA-Z/!?]|$)", self.rawdata):
+            self.rawdata = ""
         self.close()
+        while len(self.stack) > 1:
+            self._end_block()
+            self._pop()
         self._end_block()
         return self
 
@@ -162,94 +217,107 @@ def smooth(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
+def _inheriting(up: dict[int, tuple[int, bool]], regions: set[int], filled: dict) -> set[int]:
+    """Nested containers that stand in a region, wrappers without a text of their own aside."""
+    within: dict[int, bool] = {0: False}
+    for c in range(1, len(up)):  # a container's number is above that of the one around it
+        around = up[c][0]
+        within[c] = around in regions or (within[around] if around not in filled or up[around][1] else False)
+    return {c for c, found in within.items() if found and up[c][1]}
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article of a page, its blocks joined by two line breaks."""
     if not html:
         return ""
-    # A wrapper around everything may have a misleading name: then names do not count.
-    for use_names in (True, False):
-        page = _Blocks(use_names).read(html)
-        if page.wrapped:
-            opened = _Blocks(use_names, WRAPPERS).read(html)
-            page = opened if _wraps_page(opened, page) else page
-        text = _select(page, sigma)
-        if text:
-            return text
-    opened = _Blocks(False, RARE_WRAPPERS).read(html)
-    return _select(opened, sigma) if _own_text(opened) >= 200 else ""
-
-
-def _own_text(page: _Blocks) -> int:
-    return sum(max(0, len(b[0]) - b[2]) for b in page.blocks if not b[3])
-
-
-def _wraps_page(opened: _Blocks, page: _Blocks) -> bool:
-    """Do forms hold the named article, or four fifths of the text?"""
-    named = [any(b[5] and not b[3] for b in x.blocks) for x in (opened, page)]
-    return named == [True, False] or (not named[1] and _own_text(opened) > 5 * _own_text(page))
-
-
-def _inherits(container: int, up: dict[int, tuple[int, bool]], regions: set[int], filled: dict) -> bool:
-    """Does a nested container stand in a region, wrappers without a text of their own aside?"""
-    if not up[container][1]:
-        return False
-    while container:
-        container, nested = up[container][0], up[up[container][0]][1]
-        if container in regions:
-            return True
-        if container in filled and not nested:
-            return False
-    return False
+    page = Page().read(html)
+    return _select(page, _levels(page.blocks), sigma)
+
+
+def _levels(blocks: list[Block]) -> list[int]:
+    """Evidence against every block. Forms are evidence unless they hold the named article, or
+    four fifths of the text that nothing else speaks against."""
+    clear = [b for b in blocks if not b.around.evidence and not b.around.never]
+    named = [b.around.forms for b in clear if b.around.article]
+    outside = sum(b.own for b in clear if not b.around.forms)
+    if named:
+        forms = min(named) == 0
+    else:
+        forms = sum(b.own for b in clear) <= 5 * outside
+    return [b.around.evidence + (b.around.forms if forms else 0) for b in blocks]
+
+
+def _trimmed(picked: list[bool], containers: list[int], dense: list[bool], up: dict[int, tuple[int, bool]]) -> list[bool]:
+    """Clusters of picked blocks without the ends that only their neighbours lifted: those that
+    are not dense, in a container without a dense block in it or beside it."""
+    filled = {c for c, p, d in zip(containers, picked, dense) if p and d}
+    filled |= {up[c][0] for c in filled if up[up[c][0]][0]}  # not the whole page
+    solid = [d or c in filled or (up[c][0] in filled and up[up[c][0]][0] > 0) for c, d in zip(containers, dense)]
+    out = list(picked)
+    for order in (range(len(picked)), range(len(picked) - 1, -1, -1)):
+        reached = False
+        for i in order:
+            reached = picked[i] and (reached or solid[i])
+            out[i] = out[i] and reached
+    return out
 
 
-def _select(page: _Blocks, sigma: float) -> str:
+def _select(page: Page, levels: list[int], sigma: float, lowered: float = 0.01) -> str:
     blocks = page.blocks
-    ratios = [0.0 if b[3] else max(0, len(b[0]) - b[2]) / max(1, b[1]) for b in blocks]
-    if not any(ratios):
+    ratios = [b.own / max(1, b.tags) for b in blocks]
+    least = min((v for v, r in zip(levels, ratios) if r > 0), default=None)
+    if least is None:
         return ""
+    clear = [v == least and not b.around.never for v, b in zip(levels, blocks)]
+    if all(b.around.strong for b, c in zip(blocks, clear) if c) and sum(b.own for b, c in zip(blocks, clear) if c) < 200:
+        return ""  # a few words in nothing but furniture
+    weights = [lowered ** max(0, v - least) for v in levels]
+    ratios = [r * w for r, w in zip(ratios, weights)]
     smoothed = smooth(ratios, sigma)
     mean = sum(smoothed) / len(smoothed)
     deviation = math.sqrt(sum((v - mean) ** 2 for v in smoothed) / len(smoothed))
-    threshold = min(deviation, mean / 2)
-    picked = [not b[3] and r > 0 and s > threshold for b, r, s in zip(blocks, ratios, smoothed)]
-    named = [b[5] and not b[3] for b in blocks]
+    threshold = max(min(deviation, mean / 2), mean / 10)
+    picked = [r > 0 and s * w > threshold and (r > threshold or 2 * b.linked <= len(b.text)) for b, r, s, w in zip(blocks, ratios, smoothed, weights)]
+    picked = _trimmed(picked, [b.around.container for b in blocks], [r > threshold for r in ratios], page.up)
+    named = [b.around.article and c for b, c in zip(blocks, clear)]
     if any(p and n for p, n in zip(picked, named)):  # the article is named: its region only
         picked = [p and n for p, n in zip(picked, named)]
         inside = named
     else:
-        inside = [not b[3] for b in blocks]
+        inside = clear
     chars: dict[int, list[int]] = {}
     for b, p, n in zip(blocks, picked, inside):
         if n:
-            pair = chars.setdefault(b[4], [0, 0])
-            pair[0] += len(b[0])
-            pair[1] += len(b[0]) if p else 0
+            pair = chars.setdefault(b.around.container, [0, 0])
+            pair[0] += len(b.text)
+            pair[1] += len(b.text) if p else 0
     regions = {c for c, (whole, some) in chars.items() if 2 * some >= whole}
-    kept = [n and (p or b[4] in regions) for b, p, n in zip(blocks, picked, inside)]
-    within = {c: _inherits(c, page.up, regions, chars) for c in chars}
-    own = [n and 2 * b[2] <= len(b[0]) for b, n in zip(blocks, inside)]  # not mostly links
+    kept = [p or (n and b.around.container in regions) for b, p, n in zip(blocks, picked, inside)]
+    within = _inheriting(page.up, regions, chars)
+    own = [n and 2 * b.linked <= len(b.text) for b, n in zip(blocks, inside)]  # not mostly links
     held: list[int] = []  # nested blocks since the last kept one, if nothing else came between
     open_run = False
     for i, b in enumerate(blocks):
-        if not kept[i] and own[i] and within[b[4]]:
+        if not kept[i] and own[i] and b.around.container in within:
             kept[i] = True
         if kept[i]:
             for j in held if open_run else ():
                 kept[j] = True
             held, open_run = [], True
-        elif own[i] and page.up[b[4]][1]:
+        elif own[i] and page.up[b.around.container][1]:
             held.append(i)
         elif own[i]:
             held, open_run = [], False
-    return "\n\n".join(b[0] for b, k in zip(blocks, kept) if k)
+    return "\n\n".join(b.text for b, k in zip(blocks, kept) if k)
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
-    """``pages`` without ``html``, with ``out`` (the main text, empty if none)."""
+    """``pages`` without ``html``, with ``out`` (the main text, empty if none), which takes the
+    place of a column of that name."""
 
     @F.pandas_udf("string")
     def text(bodies):
         return bodies.map(main_text, na_action=None)
 
-    kept = [c for c in pages.columns if c not in (html, out)]
-    return pages.select(*kept, text(F.col(html)).alias(out))
+    kept = [F.col(quoted(c)) for c in pages.columns if c not in (html, out)]
+    return pages.select(*kept, text(F.col(quoted(html))).alias(out))
