@@ -7,8 +7,12 @@ Long texts are aligned in overlapping windows around the template's rare words,
 words which recur elsewhere in a document stay unique where they matter.
 
 Null and empty texts match nothing. All matches of a document are reported; where they
-overlap, the one with the most aligned words. A match holds the words that tell licenses
-apart (versions in notices, Lesser, Affero, NC, SA) as its template does. Repeated rows each give a row. Extra columns are ignored.
+overlap, the one with the most aligned words; ties go to the better covered, then the shorter
+span, then the name that sorts first. A match holds the words that tell licenses apart
+(Lesser, Affero, NC, SA, ND; in notices names and versions too) as its template does, and a
+notice holds few words between its own. A window reaches one and a half template lengths, so
+a text with longer insertions is several pieces, each judged alone. Repeated rows each give a
+row, an empty table none. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,14 +52,28 @@ TEMPLATES = {
     "CC-BY-4.0-short": "Licensed under CC BY 4.0.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, version 2.0.",
+    "BSD-notice": "Released under the BSD License.",
+    "BSD-2-Clause-notice": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause-notice": "Licensed under the BSD 3-Clause License.",
+    "ISC-notice": "Released under the ISC License.",
 }
+_CC = {"NonCommercial": "NC", "ShareAlike": "SA", "NoDerivatives": "ND", "NonCommercial-ShareAlike": "NC-SA", "NonCommercial-NoDerivatives": "NC-ND"}
+for _version, _law in (("3.0", "Unported"), ("4.0", "International")):
+    TEMPLATES.setdefault(f"CC-BY-{_version}-short", f"Licensed under CC BY {_version}.")
+    TEMPLATES.setdefault(f"CC-BY-{_version}-notice", f"This work is licensed under a Creative Commons Attribution {_version} {_law} License.")
+    for _long, _short in _CC.items():
+        TEMPLATES[f"CC-BY-{_short}-{_version}-notice"] = f"Licensed under CC BY-{_short} {_version}."
+        TEMPLATES[f"CC-BY-{_short}-{_version}"] = f"This work is licensed under a Creative Commons Attribution-{_long} {_version} {_law} License."
 for _file in sorted(Path(__file__).with_name("license_texts").glob("*.txt")):  # whole texts
     TEMPLATES[f"{_file.stem}-text"] = _file.read_text(encoding="utf-8")
 TEMPLATES["MIT-text"] = TEMPLATES["MIT"] + " THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 # Words that tell one license from its relatives: a match has just those of the template.
 TELLING = frozenset("affero derivatives lesser nc nd noderivatives noderivs noncommercial sa sharealike".split())
+NAMES = frozenset("agpl apache bsd cc commons creative eclipse epl gnu gpl isc lgpl mit mozilla mpl".split())
 NOTICE = 150  # words; in a template up to this length the numbers tell versions apart
 
 _WORD = re.compile(r"[a-z0-9]+")
@@ -137,11 +155,16 @@ class Scanner:
             self.rare[name] = frozenset(chosen)
 
     def _tells(self, name: str, words: list[str], pairs: list[tuple[int, int]]) -> bool:
+        """Are the words that tell licenses apart the template's, and is a notice in one piece?"""
         template, aligned = self.templates[name], {j for _, j in pairs}
-        if any(j not in aligned and (w in TELLING or (w.isdigit() and len(template) <= NOTICE)) for j, w in enumerate(template)):
+        notice = len(template) <= NOTICE
+        tell = TELLING | NAMES if notice else TELLING
+        if any(j not in aligned and (w in tell or (notice and w.isdigit())) for j, w in enumerate(template)):
             return False
         taken = {i for i, _ in pairs}
-        return not any(words[i] in TELLING and i not in taken for i in range(pairs[0][0], pairs[-1][0]))
+        between = [words[i] for i in range(pairs[0][0], pairs[-1][0]) if i not in taken]
+        most = max(1, int((1 - self.coverage) * len(template) + 1e-9)) + (len(template) - len(pairs))
+        return tell.isdisjoint(between) and (len(template) > 12 or len(between) <= most)
 
     def find(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(template, coverage, first word, end word) of every match, by place."""
@@ -189,4 +212,4 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates:
     def matches(bodies):
         return pd.Series([[dict(zip(("license", "coverage", "start", "stop"), m)) for m in scanner.find(b)] for b in bodies])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), matches(F.col(text)).alias("matches"))
+    return docs.select(F.col(doc_id).alias("doc_id"), matches(F.col(text).cast("string")).alias("matches"))
