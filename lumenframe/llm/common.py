@@ -7,6 +7,9 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +124,16 @@ def replace_spans(body: Column, spans: Column, mask: str, block: int = 2048) ->
     return F.get(F.transform(F.array(blocks), put_together), F.lit(0))  # the blocks are made once
 
 
+def vector_rows(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Components of a column of vectors as doubles, where each row's begin, how many there
+    are, and which rows are whole: not null, not empty, no null or non-finite component."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    stops = np.cumsum(lengths)
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+    return values, stops - lengths, lengths, (lengths > 0) & (bad[stops] == bad[stops - lengths])
+
+
 def unit_hash(seed: int, *cols: Column) -> Column:
     """Seeded hash of the columns as a double in [0, 1)."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11)

@@ -819,7 +819,7 @@ def test_passages_are_cut_once(spark, empty):
 
 
 # -- 10 top-k --------------------------------------------------------------
-@pytest.mark.parametrize("shard_rows, block", [(8192, 2048), (40, 3)])
+@pytest.mark.parametrize("shard_rows, block", [(16384, 8192), (40, 3)])
 def test_top_k(spark, shard_rows, block):
     rng = np.random.default_rng(2)
     rows = [(int(i), [float(x) for x in rng.standard_normal(16)]) for i in range(700)] + [(800 + i, [float(x) for x in np.ones(16)]) for i in range(25)]
@@ -843,13 +843,56 @@ def test_top_k_small_tables(spark):
     assert [tuple(r) for r in few] == [(100, 1, 2, 1024 * 512), (100, 2, 3, 1024 * 512)]
 
 
+def brute_top_k(rows, k=10):
+    good = [(n, i, [int(np.floor(1024 * x)) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for n, q, x in good:
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for m, i, y in good if m != n and len(x) == len(y))[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_top_k_of_repeated_ids_and_large_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in rng.standard_normal(8)]) for i in range(120)]
+    rows += [(100, [1.0] * 8), (100, [1.0] * 8), (0, [0.5] * 8), (7, [1e6] * 8), (8, [-1e6] * 8), (300, [2.0, 1.0]), (9, [1.0, 2.0]), (None, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", "embedding", F.lit("x").alias("row"), F.lit(1).alias("dim"), F.lit(2).alias("a.b"))
+    for options in ({}, {"shard_rows": 16, "block": 2, "pivots": 4, "leaf": 4}):
+        assert sorted(tuple(r) for r in topk.top_k(df, **options).collect()) == brute_top_k(rows)
+    big = spark.createDataFrame([(100, [2e6, 1.0]), (1, [1.5e6, -5.0])], "vec_id long, embedding array<double>")  # beyond 2^53
+    assert [r["score"] for r in topk.top_k(big).collect()] == [2048000000 * 1536000000 - 1024 * 5120]
+    for x in (1e17, 1e12):
+        with pytest.raises(Exception):
+            topk.top_k(spark.createDataFrame([(100, [x]), (1, [x])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_ball_tree_bounds():
     rng = np.random.default_rng(3)
     x = rng.integers(-500, 500, (500, 8))
-    tree = topk.BallTree(x.astype(float), leaf=16)
-    q = rng.integers(-500, 500, 8).astype(float)
-    for c, r, (lo, hi) in zip(tree.centre, tree.radius, tree.span):
-        assert (x[tree.order[lo:hi]] @ q).max() <= q @ c + np.sqrt(q @ q) * r + 1e-6
+    tree = topk.shard(np.arange(500), np.arange(500), x, leaf=16)
+    q = rng.integers(-500, 500, (5, 8)).astype(float)
+    reach = topk.upper(q, tree["centre"], tree["radius"])
+    for node, (lo, hi) in enumerate(tree["span"]):
+        assert ((tree["x"][lo:hi] @ q.T).max(axis=0) <= reach[:, node]).all()
+    assert sorted(tree["rows"]) == list(range(500))
+
+
+def test_search_opens_few_nodes_and_starts_from_shared_scores():
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-2000, 2000, (40, 8))
+    x = (centres[rng.integers(0, 40, 4000)] + rng.integers(-40, 40, (4000, 8))).astype(np.int64)
+    tree = topk.shard(np.arange(4000), np.arange(4000), x, leaf=32)
+    asked = np.arange(0, 4000, 100)
+    none = np.full(len(asked), topk.NONE)
+    place, ids, _, score, scored = topk.search(tree, asked, x[asked], none, 10)
+    assert scored < 0.2 * len(asked) * len(x)
+    for n, i in enumerate(asked):
+        want = sorted((-int(x[i] @ x[j]), j) for j in range(4000) if j != i)[:10]
+        assert sorted((-s, j) for s, j in zip(score[place == n], ids[place == n])) == want
+    kth = np.array([score[place == n].min() for n in range(len(asked))])
+    again = topk.search(tree, asked, x[asked], kth, 10)
+    assert again[4] < scored and sorted(zip(again[0], again[1])) == sorted(zip(place, ids))
 
 
 # -- registered queries ----------------------------------------------------
