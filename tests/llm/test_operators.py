@@ -293,6 +293,54 @@ def test_links_beyond_full_lists_join_components(spark, block):
     assert all(out[i]["component_id"] == i and out[i]["n_links"] == 0 for i, _, _ in rows[80:])
 
 
+def brute_links(rows, threshold=0.98):
+    good = [(i, np.array(v) / np.abs(v).max(), lab) for i, v, lab in rows if lab is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    deg, pairs = {i: 0 for i, _, _ in rows}, []
+    for a in range(len(good)):
+        for b in range(a):
+            (i, x, s), (j, y, t) = good[a], good[b]
+            if s == t and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= threshold:
+                pairs.append((i, j))
+                deg[i], deg[j] = deg[i] + 1, deg[j] + 1
+    return deg, brute_components(set(deg), pairs)
+
+
+@pytest.mark.parametrize("largest, block", [(64, 1024), (8, 32)])
+def test_bridges_between_dense_groups(spark, largest, block):
+    """Two dense groups, linked across by some of their pairs only; huge and tiny vectors."""
+    rng = np.random.default_rng(9)
+    a, b = np.linalg.qr(rng.standard_normal((16, 2)))[0].T
+    ends = (a, np.cos(0.23) * a + np.sin(0.23) * b)
+    rows = [(k * 1000 + i, [float(x) for x in ends[k] + 0.012 * rng.standard_normal(16)], "x") for k in range(2) for i in range(61)]
+    rows += [(3000 + i, [float(x) * 10.0 ** (200 if i % 2 else -200) for x in rows[i][1]], "x") for i in range(4)] + [(4000 + i, [float(x) for x in rng.standard_normal(16)], "y") for i in range(80)]
+    deg, comp = brute_links(rows)
+    across = len(set(comp[i] for i, _, g in rows if g == "x"))
+    assert across < 122
+    out = {r["vec_id"]: r for r in vector_links.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), largest=largest, block=block).collect()}
+    assert {i: r["n_links"] for i, r in out.items()} == deg and {i: r["component_id"] for i, r in out.items()} == comp
+
+
+def test_audit_sees_missing_links(spark):
+    rng = np.random.default_rng(2)
+    base = [float(x) for x in rng.standard_normal(8)]
+    rows = [(i, [x + 1e-3 * i for x in base], 1) for i in range(20)] + [(100 + i, [float(x) for x in rng.standard_normal(8)], 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    v = vector_links.usable(df, "vec_id", "embedding", "label").select(F.col("vec_id").alias("class"), F.col("label").alias("group"), "v", F.lit(1).cast("long").alias("copies"))
+    v = common.materialise(v, "t")
+    deg, _ = brute_links(rows)
+    whole = spark.createDataFrame([(i, n) for i, n in deg.items() if n], "class long, linked long")
+    assert vector_links.audit(v, whole, 0.98, "<f8") == 1.0
+    assert vector_links.audit(v, whole.selectExpr("class", "linked - 2 as linked"), 0.98, "<f8") < 0.95
+    assert vector_links.audit(v, whole.limit(0), 0.98, "<f8") == 0.0
+
+
+def test_null_ids_and_equal_vectors(spark):
+    rows = [(None, [1.0, 0.0], 1), (7, [1.0, 0.0], 1), (7, [2.0, 0.0], 1), (None, [0.0, 1.0], 1), (8, None, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as `a.b`", "2 as class", "3 as component", "4 as v")
+    out = sorted(map(str, (tuple(r) for r in vector_links.near_duplicates(df).collect())))
+    assert out == sorted(map(str, [(None, 2, 7, True), (7, 2, 7, True), (7, 2, 7, True), (None, 0, None, True), (8, 0, 8, True)]))
+
+
 def test_vector_links_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vector_links.near_duplicates(df).collect() == []
