@@ -316,7 +316,7 @@ def audit(classes: DataFrame, found: DataFrame, threshold: float, width: str, ro
     return sum(shares) / len(shares) if shares else 1.0
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.98, block: int = 1024, largest: int = 64, leaf: int = 64, recall: float = 0.999, attempts: int = 4, **options) -> DataFrame:
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.98, block: int = 1024, largest: int = 32, leaf: int = 64, recall: float = 0.999, attempts: int = 4, **options) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     width = _width(vectors, embedding)
     rows = materialise(usable(vectors, vec_id, embedding, label), "vectors")
