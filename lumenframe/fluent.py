@@ -190,8 +190,10 @@ class Query:
 
     def groups(self) -> dict[str, list[Row]]:
         """Rows by group key, on the driver: for results that fit there."""
+        from .sources.sinks import bounded
+
         out: dict[str, list[Row]] = {}
-        for row in self.grouped().toLocalIterator():
+        for row in bounded(self.grouped()):
             fields = row.asDict()
             out.setdefault(fields.pop("group_key"), []).append(Row(**fields))
         return out

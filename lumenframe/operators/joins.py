@@ -52,7 +52,7 @@ def join(parent: DataFrame, spec: JoinSpec) -> DataFrame:
 
 def semi_join(df: DataFrame, field: str, keys: DataFrame) -> DataFrame:
     """Rows whose ``field`` is among the single column of ``keys``."""
-    key = keys.select(F.col(keys.columns[0]).alias("__key")).distinct()
+    key = keys.select(F.col(keys.columns[0]).alias("__key"))
     return df.join(key, _same(df, field, key), "left_semi")
 
 

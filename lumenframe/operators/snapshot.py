@@ -34,36 +34,40 @@ class SnapshotComparison:
     allow_null_keys: bool = False
     check_keys: bool = True
 
-    def _checked(self, df: DataFrame, side: str) -> DataFrame:
+    def _flat(self, df: DataFrame, side: str) -> DataFrame:
         df = flatten(df)
         if self.key not in df.columns:
             raise ValueError(f"Unknown snapshot key '{self.key}' in {side} rows")
-        if self.check_keys:
-            counts = df.groupBy(col(self.key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-            bad = counts.filter((F.col("n") > 1) | (F.lit(not self.allow_null_keys) & F.col("k").isNull())).limit(1).collect()
-            if bad and bad[0]["k"] is None and not self.allow_null_keys:
-                raise ValueError(f"Null snapshot key in {side} rows")
-            if bad:
-                raise ValueError(f"Duplicate snapshot key '{bad[0]['k']}' in {side} rows")
         return df
 
     def rows(self) -> DataFrame:
         """A row a key: key, key_text, change, changed_field_count, changed_field_summary,
-        current and previous (structs). One full outer join, no sort: order as you need."""
-        now, then = self._checked(self.current, "current"), self._checked(self.previous, "previous")
+        current and previous (structs). One aggregate over both sides, no join and no sort:
+        order as you need. Duplicate and null keys raise an error where the rows are read."""
+        now, then = self._flat(self.current, "current"), self._flat(self.previous, "previous")
         fields = list(dict.fromkeys([*now.columns, *then.columns]))
-        a = now.select(col(self.key).alias("__a"), F.struct(*[col(c).alias(c) for c in now.columns]).alias("current"))
-        b = then.select(col(self.key).alias("__b"), F.struct(*[col(c).alias(c) for c in then.columns]).alias("previous"))
-        both = a.join(b, F.col("__a").eqNullSafe(F.col("__b")), "full_outer")
+        whole = lambda df: F.struct(*[col(c).alias(c) for c in df.columns])
+        none = lambda df: F.lit(None).cast(df.select(whole(df).alias("s")).schema["s"].dataType)
+        a = now.select(col(self.key).alias("key"), whole(now).alias("current"), none(then).alias("previous"))
+        b = then.select(col(self.key).alias("key"), none(now).alias("current"), whole(then).alias("previous"))
+        sides = ("current", "previous")
+        both = a.union(b).groupBy("key").agg(*[F.first(n, ignorenulls=True).alias(n) for n in sides], *[F.count(n).alias(f"__{n}") for n in sides])
+        if self.check_keys:
+            text = F.coalesce(F.col("key").cast("string"), F.lit("null"))
+            for n in sides:
+                twice = F.concat(F.lit("Duplicate snapshot key '"), text, F.lit(f"' in {n} rows"))
+                bad = F.when(F.col(f"__{n}") > 1, F.raise_error(twice)).otherwise(F.col(n))
+                if not self.allow_null_keys:
+                    bad = F.when((F.col(f"__{n}") > 0) & F.col("key").isNull(), F.raise_error(F.lit(f"Null snapshot key in {n} rows"))).otherwise(bad)
+                both = both.withColumn(n, bad)
         side = lambda name, df, c: F.col(f"{name}.`{c}`") if c in df.columns else F.lit(None)
         names = F.array(*[F.when(~side("current", now, c).eqNullSafe(side("previous", then, c)), F.lit(c)) for c in fields])
         changed = F.filter(names, lambda n: n.isNotNull())
         here, there = F.col("current").isNotNull(), F.col("previous").isNotNull()
         both = both.withColumn("__changed", F.when(here & there, changed).otherwise(F.array().cast("array<string>")))
         change = F.when(here & ~there, "ADDED").when(~here, "REMOVED").when(F.size("__changed") > 0, "CHANGED").otherwise("UNCHANGED")
-        key = F.when(here, F.col("__a")).otherwise(F.col("__b"))
         return both.select(
-            key.alias("key"), F.coalesce(key.cast("string"), F.lit("null")).alias("key_text"), change.alias("change"),
+            "key", F.coalesce(F.col("key").cast("string"), F.lit("null")).alias("key_text"), change.alias("change"),
             F.size("__changed").alias("changed_field_count"), F.array_join("__changed", ",").alias("changed_field_summary"), "current", "previous",
         )
 

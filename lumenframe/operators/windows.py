@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,8 @@ def window_column(spec: WindowSpec, schema: T.StructType, row_id: str) -> Column
         if name not in schema.names:
             raise unknown_field(name, schema.names, "SELECT")
     order = [col(o.field).asc_nulls_first() if o.sort is Sort.ASC else col(o.field).desc_nulls_last() for o in spec.orders]
+    if not spec.partition:
+        warnings.warn("a window without partition fields puts all rows in one task", stacklevel=2)
     over = Window.partitionBy(*[col(p) for p in spec.partition])
     if spec.function is WindowFunction.RANK:
         return F.rank().over(over.orderBy(*order)).cast("long")

@@ -14,6 +14,7 @@ from .functions.buckets import parse_bucket
 from .operators.snapshot import SnapshotComparison
 from .plans.spec import Clause, JoinKind, Metric, OrderKey, Separator, Sort, WindowFunction
 from .reports import chart, stats
+from .sources.sinks import to_maps
 from .sql.cursor import Cursor
 from .sql.query import parse
 
@@ -416,6 +417,139 @@ def sql_full(spark, sf_dir):
     return out.withColumn("total", F.round("total", 2))
 
 
+# -- nulls, kinds and sinks ----------------------------------------------
+_KEYS_SQL = "(SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer) c JOIN (SELECT n_name, nullif(n_nationkey, 3) AS nk FROM nation) n"
+
+
+def _null_keys(spark, sf_dir, null_safe: bool):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("k"))
+    n = table(spark, sf_dir, "nation").select("n_name", F.nullif("n_nationkey", F.lit(3)).alias("nk"))
+    return Query.of(c).join(n, "k", "nk", null_safe=null_safe).select("c_custkey", "n_name").rows()
+
+
+@register(f"SELECT c_custkey, n_name FROM {_KEYS_SQL} ON k = nk")
+def join_null_keys(spark, sf_dir):
+    """Null keys join with nothing."""
+    return _null_keys(spark, sf_dir, False)
+
+
+@register(f"SELECT c_custkey, n_name FROM {_KEYS_SQL} ON k IS NOT DISTINCT FROM nk")
+def join_null_safe(spark, sf_dir):
+    """Null keys join with each other if asked to."""
+    return _null_keys(spark, sf_dir, True)
+
+
+@register("SELECT s_suppkey, n_name FROM supplier JOIN (SELECT n_name, CAST(n_nationkey AS VARCHAR) AS t FROM nation) n ON CAST(s_nationkey AS VARCHAR) = t")
+def join_mixed_kinds(spark, sf_dir):
+    """A number and a text join by their texts."""
+    n = table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").cast("string").alias("t"))
+    return _query(spark, sf_dir, "supplier").join(n, "s_nationkey", "t").select("s_suppkey", "n_name").rows()
+
+
+@register("SELECT c_custkey, CAST(NULL AS BIGINT) AS o_orderkey FROM customer")
+def join_empty_child(spark, sf_dir):
+    none = table(spark, sf_dir, "orders").filter("false")
+    return _query(spark, sf_dir, "customer").join(none, "c_custkey", "o_custkey", JoinKind.LEFT).select("c_custkey", "o_orderkey").rows()
+
+
+def _sizes(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.nullif("p_size", F.lit(7)).alias("size"))
+
+
+_SIZES_SQL = "(SELECT p_partkey, nullif(p_size, 7) AS size FROM part)"
+
+
+@register(f"SELECT p_partkey, size FROM {_SIZES_SQL} ORDER BY size ASC NULLS FIRST, p_partkey ASC LIMIT 60")
+def order_nulls_lowest(spark, sf_dir):
+    return Query.of(_sizes(spark, sf_dir)).order("size", "p_partkey").limit(60).rows(S.ASC)
+
+
+@register(f"SELECT p_partkey, size FROM {_SIZES_SQL} ORDER BY size DESC NULLS LAST, p_partkey DESC LIMIT 60 OFFSET 20")
+def order_nulls_last(spark, sf_dir):
+    return Query.of(_sizes(spark, sf_dir)).order("size", "p_partkey").limit(60).offset(20).rows(S.DESC)
+
+
+@register("SELECT n_nationkey, n_name FROM nation ORDER BY n_name LIMIT 5")
+def order_default_direction(spark, sf_dir):
+    return parse("select n_nationkey, n_name order by n_name limit 5").rows(table(spark, sf_dir, "nation"))
+
+
+@register("SELECT * FROM nation WHERE n_regionkey = 1")
+def select_star(spark, sf_dir):
+    return parse("select * where n_regionkey = 1").rows(table(spark, sf_dir, "nation"))
+
+
+def _sized(spark, sf_dir, function: WindowFunction, value: str | None):
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.nullif("p_size", F.lit(7)).alias("size"))
+    return Query.of(df).window(function, "w", value, ("p_brand",), (OrderKey("size"), OrderKey("p_partkey"))).select("p_partkey", "w").rows()
+
+
+_NULL_ORDER = "OVER (PARTITION BY p_brand ORDER BY size ASC NULLS FIRST, p_partkey"
+
+
+@register(f"SELECT p_partkey, CAST(row_number() {_NULL_ORDER}) AS BIGINT) AS w FROM (SELECT *, nullif(p_size, 7) AS size FROM part)")
+def win_null_order(spark, sf_dir):
+    return _sized(spark, sf_dir, W.ROW_NUMBER, None)
+
+
+@register(f"SELECT p_partkey, CAST(sum(size) {_NULL_ORDER} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS w FROM (SELECT *, nullif(p_size, 7) AS size FROM part)")
+def win_running_sum_nulls(spark, sf_dir):
+    """Null before the first value."""
+    return _sized(spark, sf_dir, W.SUM, "size")
+
+
+@register("""SELECT coalesce(CASE WHEN o_orderstatus = 'F' THEN NULL WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END, '') AS status, count(*) AS n FROM orders GROUP BY 1""")
+def agg_compat_groups(spark, sf_dir):
+    """Text keys, null like empty."""
+    status = F.when(F.col("o_orderstatus") == "F", F.lit(None)).when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderstatus"))
+    q = Query.of(table(spark, sf_dir, "orders").withColumn("status", status)).group("status").count("n").compat()
+    return q.rows().withColumn("status", F.coalesce("status", F.lit("")))
+
+
+@register("""WITH a AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 7 <> 0), b AS (SELECT c_custkey, c_acctbal + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS v FROM customer WHERE c_custkey % 11 <> 0)
+SELECT count(a.c_custkey) AS current_rows, count(b.c_custkey) AS previous_rows, count(*) FILTER (b.c_custkey IS NULL) AS added, count(*) FILTER (a.c_custkey IS NULL) AS removed,
+count(*) FILTER (c_acctbal <> v) AS changed, count(*) FILTER (c_acctbal = v) AS unchanged FROM a FULL JOIN b ON a.c_custkey = b.c_custkey""")
+def snapshot_summary(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    then = c.filter("c_custkey % 11 <> 0").withColumn("c_acctbal", F.when(F.expr("c_custkey % 5 = 0"), F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
+    s = SnapshotComparison(c.filter("c_custkey % 7 <> 0"), then, "c_custkey").summary()
+    names = ("current_rows", "previous_rows", "added", "removed", "changed", "unchanged")
+    return spark.createDataFrame([tuple(getattr(s, n) for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@register("SELECT c_mktsegment, count(*) AS value, (SELECT count(*) FROM customer) AS total FROM customer GROUP BY c_mktsegment")
+def stats_table(spark, sf_dir):
+    """Rows of a statistics table beside its totals."""
+    made = stats.by("c_mktsegment").table(table(spark, sf_dir, "customer"))
+    return made.rows.withColumn("total", F.lit(made.totals["value"]).cast("long"))
+
+
+@register("SELECT o_orderpriority AS label, o_orderstatus AS series, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY o_orderpriority, o_orderstatus")
+def chart_matrix(spark, sf_dir):
+    """A chart of several series, as cells."""
+    made = chart.grouped_breakdown("o_orderpriority", "o_orderstatus", Metric.COUNT, None).chart(table(spark, sf_dir, "orders"))
+    cells = [(x, d.label, v) for d in made.datasets for x, v in zip(made.labels, d.values) if v is not None]
+    return spark.createDataFrame(cells, "label string, series string, value double")
+
+
+@register("SELECT c_custkey, c_name FROM customer WHERE c_custkey <= 40")
+def lazy_sink(spark, sf_dir):
+    rows = _query(spark, sf_dir, "customer").where("c_custkey", C.SMALLER_EQUAL, 40).select("c_custkey", "c_name").iterate()
+    return spark.createDataFrame(list(rows), "c_custkey long, c_name string")
+
+
+@register("SELECT n_regionkey || ',' AS group_key, count(*) AS n FROM nation GROUP BY n_regionkey")
+def grouped_sink(spark, sf_dir):
+    groups = _query(spark, sf_dir, "nation").group("n_regionkey").groups()
+    return spark.createDataFrame([(k, len(v)) for k, v in groups.items()], "group_key string, n long")
+
+
+@register("SELECT r_name, r_regionkey FROM region")
+def maps_sink(spark, sf_dir):
+    maps = to_maps(_query(spark, sf_dir, "region").select("r_name", "r_regionkey").rows())
+    return spark.createDataFrame([(m["r_name"], m["r_regionkey"]) for m in maps], "r_name string, r_regionkey int")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pricing summary: filter, two group keys, sums, mean, count, order."""
     return agg_multi_key(spark, sf_dir)

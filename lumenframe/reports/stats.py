@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from ..plans.spec import Metric
+from ..sources.sinks import bounded
 from ..sql.query import parse
 from .chart import metric_text
 from .table import TabularSchema
@@ -22,7 +23,7 @@ class StatsTable:
     def payload(self) -> dict[str, Any]:
         """Rows, totals and columns as plain values; for tables that fit the driver."""
         columns = [{"name": c.name, "label": c.label, "type": c.type, "order": c.order, "formatHint": c.format_hint} for c in self.schema.columns]
-        return {"columns": columns, "rows": [r.asDict() for r in self.rows.collect()], "totals": self.totals}
+        return {"columns": columns, "rows": [r.asDict() for r in bounded(self.rows)], "totals": self.totals}
 
 
 @dataclass(frozen=True)

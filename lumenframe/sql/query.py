@@ -29,10 +29,13 @@ LINT = {
 
 
 class ParseCache:
-    """Parsed queries by text: least recently used out first, entries may expire."""
+    """Parsed queries by text: least recently used out first, entries may expire.
 
-    def __init__(self, entries: int = 256, ttl_seconds: float | None = None, enabled: bool = True) -> None:
-        self.entries, self.ttl, self.enabled = entries, ttl_seconds, enabled
+    ``weight`` bounds the characters of all texts held; a longer text is not kept."""
+
+    def __init__(self, entries: int = 256, ttl_seconds: float | None = None, enabled: bool = True, weight: int = 1 << 20) -> None:
+        self.entries, self.ttl, self.enabled, self.weight = entries, ttl_seconds, enabled, weight
+        self.held_weight = 0
         self.hits = self.misses = self.evictions = 0
         self._held: OrderedDict[str, tuple[float, Ast]] = OrderedDict()
         self._lock = threading.Lock()
@@ -49,17 +52,21 @@ class ParseCache:
                 return found[1]
             self.misses += 1
         ast = parse_text(text)
+        if len(text) > self.weight:
+            return ast
         with self._lock:
+            self.held_weight += 0 if text in self._held else len(text)
             self._held[text] = (now, ast)
             self._held.move_to_end(text)
-            while len(self._held) > self.entries:
-                self._held.popitem(last=False)
+            while len(self._held) > self.entries or self.held_weight > self.weight:
+                self.held_weight -= len(self._held.popitem(last=False)[0])
                 self.evictions += 1
         return ast
 
     def clear(self) -> None:
         with self._lock:
             self._held.clear()
+            self.held_weight = 0
 
     def stats(self) -> dict[str, int]:
         return {"size": len(self._held), "hits": self.hits, "misses": self.misses, "evictions": self.evictions}

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 
+from .sources.sinks import bounded
+
 
 def _plain(value):
     if isinstance(value, float):
@@ -17,7 +21,7 @@ def _plain(value):
 
 
 def rows_of(df: DataFrame) -> list[tuple]:
-    return [tuple(_plain(v) for v in r) for r in df.collect()]
+    return [tuple(_plain(v) for v in r) for r in bounded(df)]
 
 
 def assert_rows(df: DataFrame, expected: list[tuple], ordered: bool = False, columns: list[str] | None = None) -> None:
@@ -50,3 +54,25 @@ class Fixture:
                 assert_rows(query(self.source), expected, ordered)
             except AssertionError as e:
                 raise AssertionError(f"{name}: {e}") from e
+
+
+class Snapshots:
+    """Results kept as JSON files of a folder: columns, and rows as a bag or in order.
+
+    A result without a file is an error unless ``update`` is set; then files are written."""
+
+    def __init__(self, folder: str, update: bool = False) -> None:
+        self.folder, self.update = Path(folder), update
+
+    def check(self, name: str, df: DataFrame, ordered: bool = False) -> None:
+        rows = [[repr(v) for v in r] for r in rows_of(df)]
+        now = {"columns": df.columns, "rows": rows if ordered else sorted(rows)}
+        file = self.folder / f"{name}.json"
+        if self.update:
+            self.folder.mkdir(parents=True, exist_ok=True)
+            file.write_text(json.dumps(now, indent=1) + "\n", encoding="utf-8")
+        elif not file.exists():
+            raise AssertionError(f"no snapshot of '{name}' in {self.folder}")
+        elif (then := json.loads(file.read_text(encoding="utf-8"))) != now:
+            gone, new = ([r for r in a["rows"] if r not in b["rows"]][:5] for a, b in ((then, now), (now, then)))
+            raise AssertionError(f"'{name}' differs from its snapshot\ncolumns {then['columns']} then, {now['columns']} now\ngone {gone}\nnew {new}")

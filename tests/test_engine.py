@@ -529,11 +529,15 @@ def test_snapshot(spark):
     assert_rows(got, [(1, "1", "UNCHANGED", 0, ""), (2, "2", "CHANGED", 2, "name,v"), (3, "3", "ADDED", 0, ""), (4, "4", "REMOVED", 0, "")])
     s = cmp.summary()
     assert (s.added, s.removed, s.changed, s.unchanged, s.net_row_delta) == (1, 1, 1, 1, 0)
-    with pytest.raises(ValueError, match="Duplicate"):
-        lf.SnapshotComparison(now.union(now), then, "id").rows()
+    with pytest.raises(Exception, match="Duplicate snapshot key '1' in current rows|Duplicate snapshot key"):
+        lf.SnapshotComparison(now.union(now), then, "id").summary()
+    with pytest.raises(Exception, match="Duplicate snapshot key"):
+        lf.SnapshotComparison(now, then.union(then), "id").rows().collect()
+    with pytest.raises(ValueError, match="Unknown"):
+        lf.SnapshotComparison(now, then, "none").rows()
     with_null = now.union(spark.createDataFrame([(None, "n", 0.0)], schema))
-    with pytest.raises(ValueError, match="Null"):
-        lf.SnapshotComparison(with_null, then, "id").rows()
+    with pytest.raises(Exception, match="Null snapshot key in current rows"):
+        lf.SnapshotComparison(with_null, then, "id").rows().collect()
     assert lf.SnapshotComparison(with_null, with_null, "id", allow_null_keys=True).summary().unchanged == 4
 
 
@@ -560,3 +564,49 @@ def test_streams(spark, tmp_path):
         StreamQuery(q.order("k")).rows()
     with pytest.raises(ValueError):
         StreamQuery(Query.of(spark.range(3))).rows()
+
+
+# -- bounds and snapshots --------------------------------------------------
+def test_sinks_stop_at_their_bound(spark):
+    from lumenframe.sources import sinks
+
+    assert len(list(sinks.bounded(spark.range(5), 5))) == 5
+    with pytest.raises(ValueError, match="more than 4 rows"):
+        list(sinks.bounded(spark.range(5), 4))
+
+
+def test_result_snapshots(spark, tmp_path):
+    from lumenframe.testing import Snapshots
+
+    df = spark.createDataFrame([(2, "b", None), (1, "a", 0.5)], "id int, t string, v double")
+    with pytest.raises(AssertionError, match="no snapshot"):
+        Snapshots(str(tmp_path / "kept")).check("one", df)
+    Snapshots(str(tmp_path / "kept"), update=True).check("one", df)
+    Snapshots(str(tmp_path / "kept")).check("one", df.orderBy("id"))
+    with pytest.raises(AssertionError, match="differs"):
+        Snapshots(str(tmp_path / "kept")).check("one", df.filter("id = 1"))
+    with pytest.raises(AssertionError, match="differs"):
+        Snapshots(str(tmp_path / "kept")).check("one", df.drop("v"))
+
+
+def test_parse_cache_is_bounded_by_weight():
+    from lumenframe.sql.query import ParseCache
+
+    texts = [f"select a where a > {i}" for i in range(10)]
+    cache = ParseCache(weight=3 * len(texts[0]))
+    for t in texts:
+        cache.parse(t)
+    assert cache.stats()["size"] == 3 and cache.held_weight == 3 * len(texts[0]) and cache.stats()["evictions"] == 7
+    cache.parse(texts[9])
+    assert cache.hits == 1
+    small = ParseCache(weight=4)
+    small.parse(texts[0])
+    assert small.stats()["size"] == 0
+    cache.clear()
+    assert cache.held_weight == 0
+
+
+def test_window_over_all_rows_warns(spark):
+    q = Query.of(spark.range(5)).window(WindowFunction.ROW_NUMBER, "n", None, (), ("id",)).select("id", "n")
+    with pytest.warns(UserWarning, match="one task"):
+        assert [r["n"] for r in q.rows().orderBy("id").collect()] == [1, 2, 3, 4, 5]
