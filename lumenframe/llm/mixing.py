@@ -8,7 +8,9 @@ from a seeded place on, so that few documents are cut and blocks need no listing
 
 A null text has size 0 and null sources are a source of their own, last in the order.
 Documents of size 0 and sources without words take 0. Repeated rows are separate
-documents. An empty table gives an empty result.
+documents; those with one id, a null id too, lie side by side in the order of their sizes.
+Extra columns are ignored by ``mix`` and kept by ``mixed_documents``. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, packed, unpacked
+from .common import materialise, packed, release_own, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,7 +41,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
     ranked = spread.withColumn("place", place).join(offsets, "part").withColumn("place", F.col("place") + F.col("before"))
     choose = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights)).cast("int") + 1)
-    ranked = materialise(ranked.select("source", "source_size", choose.alias("weight")), "ranked")
+    ranked = materialise(ranked.select("source", "source_size", choose.alias("weight")), "ranked", spread)
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     goal, level, full = share * total, 0.0, -1
     while total:
@@ -94,64 +96,80 @@ def apportion_table(votes: DataFrame, key: str, vote: str, seats: int, rounds: i
     return out.withColumn("seats", F.col("seats") + F.coalesce("_more", F.lit(0))).drop("_k", "_more")
 
 
-def apportion(votes: list[float], seats: int) -> list[int]:
-    """Sainte-Laguë seats for a bounded list, ties to the earlier entry."""
+def apportion(votes: list[float], seats: int, most: list[int] | None = None) -> list[int]:
+    """Sainte-Laguë seats for a bounded list, ties to the earlier entry. Who has ``most`` seats
+    takes no more; they go to the next quotient."""
     total = sum(votes)
     if total <= 0 or seats <= 0:
         return [0] * len(votes)
+    most = most or [seats] * len(votes)
     out = [int(math.floor(v * seats / total)) for v in votes]
     # Start below every final count, then hand out by highest quotient.
-    out = [max(0, n - 1) if v < total else n for n, v in zip(out, votes)]
+    out = [min(m, max(0, n - 1) if v < total else n) for n, v, m in zip(out, votes, most)]
     import heapq
 
-    heap = [(-v / (2 * n + 1), i) for i, (v, n) in enumerate(zip(votes, out)) if v > 0]
+    heap = [(-v / (2 * n + 1), i) for i, (v, n) in enumerate(zip(votes, out)) if v > 0 and n < most[i]]
     heapq.heapify(heap)
     for _ in range(seats - sum(out)):
+        if not heap:
+            break  # all have their most
         _, i = heapq.heappop(heap)
         out[i] += 1
-        heapq.heappush(heap, (-votes[i] / (2 * out[i] + 1), i))
+        if out[i] < most[i]:
+            heapq.heappush(heap, (-votes[i] / (2 * out[i] + 1), i))
     return out
 
 
-def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", keep: tuple[str, ...] = (), weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 2, shard_words: int = 1 << 18, max_shards: int = 4096, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", keep: tuple[str, ...] = (), weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 2, shard_words: int = 1 << 18, shard_group: int = 1024, seed: int = 17) -> DataFrame:
     """One row per document: doc_id, the ``keep`` columns, size, source_size, target,
     taken, and how: ``copies`` (whole repeats) and ``picks`` (array of struct(start,
     stop): the word ranges taken beside them).
 
-    A source has at most ``max_shards`` shards, so the table of shards of one source
-    is bounded and fits a task.
+    Shards follow the data. Blocks go to groups of shards first, then to the shards of each
+    group, so that no task sees all shards of a large source.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(source).cast("string").alias("source"), size.alias("size"))
     rows = materialise(rows, "sizes")
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     blocks = goal.agg(F.sum("target")).first()[0] or 0.0
-    seats = apportion_table(materialise(goal, "targets"), "source", "target", math.floor(blocks / block_words + 0.5))
-    n_shards = F.least(F.lit(max_shards), F.ceil(F.col("source_size") / shard_words)).cast("long")
-    seats = materialise(seats.withColumn("n_shards", F.greatest(n_shards, F.lit(1))), "seats")
+    made = goal
+    goal = materialise(goal, "targets")
+    release_own(made, rows)
+    seats = apportion_table(goal, "source", "target", math.floor(blocks / block_words + 0.5))
+    n_shards = F.ceil(F.col("source_size") / shard_words).cast("long")
+    seats = materialise(seats.withColumn("n_shards", F.greatest(n_shards, F.lit(1))), "seats", goal)
 
     a, b = rows.alias("a"), seats.select(F.col("source").alias("_s"), "source_size", "target", "n_shards")
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
     placed = a.join(b, F.col("a.source").eqNullSafe(F.col("_s"))).drop("_s")
     placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("size")), F.col("n_shards")))
-    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"))
-    quotas = shards.join(seats.select(F.col("source").alias("_s"), "seats"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    # A shard of some words holds ``most`` times its blocks at most.
+    most_blocks = F.greatest(F.ceil(F.col("words") / block_words), F.lit(1)).cast("long") * F.lit(int(most))
+    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("words")).withColumn("most", most_blocks)
+    shards = materialise(shards.withColumn("team", F.floor(F.col("shard") / shard_group).cast("long")), "shards")
+    teams = shards.groupBy("source", "team").agg(F.sum("words").alias("words"), F.sum("most").alias("most"))
+    teams = teams.join(seats.select(F.col("source").alias("_s"), "seats"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
     def share_out(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("shard")
-        words = [int(w or 0) for w in pdf["words"]]
-        quota = apportion([float(w) for w in words], int(pdf["seats"].iloc[0]))
-        return pd.DataFrame({"_q": pdf["source"], "_shard": pdf["shard"], "shard_words": words, "quota": quota})
-
-    quotas = materialise(quotas.groupBy("source").applyInPandas(share_out, "_q string, _shard long, shard_words long, quota long"), "quotas")
+        pdf = pdf.sort_values("place")
+        words, most = ([int(w or 0) for w in pdf[c]] for c in ("words", "most"))
+        quota = apportion([float(w) for w in words], int(pdf["seats"].iloc[0]), most)
+        return pd.DataFrame({"_q": pdf["source"], "_place": pdf["place"], "shard_words": words, "quota": quota})
+
+    given = "_q string, _place long, shard_words long, quota long"
+    teams = teams.withColumn("place", F.col("team")).groupBy("source").applyInPandas(share_out, given)
+    teams = teams.select(F.col("_q").alias("_s"), F.col("_place").alias("_t"), F.col("quota").alias("seats"))
+    inner = shards.join(teams, F.col("source").eqNullSafe(F.col("_s")) & (F.col("team") == F.col("_t"))).withColumn("place", F.col("shard"))
+    quotas = inner.select("source", "team", "place", "words", "most", "seats").groupBy("source", "team").applyInPandas(share_out, given)
+    quotas = materialise(quotas.withColumnRenamed("_place", "_shard"), "quotas", shards)
     full = placed.join(quotas, F.col("source").eqNullSafe(F.col("_q")) & (F.col("shard") == F.col("_shard"))).drop("_q", "_shard")
     line = Window.partitionBy("source", "shard").orderBy(order, "doc_id", "size")
     full = full.withColumn("stop", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     full = full.withColumn("start", F.col("stop") - F.col("size"))
     n_blocks = F.greatest(F.ceil(F.col("shard_words") / block_words), F.lit(1)).cast("long")  # an empty shard takes nothing either way
     full = full.withColumn("n_blocks", n_blocks)
-    quota = F.least(F.col("quota"), F.col("n_blocks") * F.lit(int(most)))
-    full = full.withColumn("copies", F.floor(quota / F.col("n_blocks")).cast("long")).withColumn("extra", F.pmod(quota, F.col("n_blocks")))
+    full = full.withColumn("copies", F.floor(F.col("quota") / F.col("n_blocks")).cast("long")).withColumn("extra", F.pmod("quota", "n_blocks"))
     full = full.withColumn("shift", F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.col("n_blocks")))
     # The picked blocks are a run from the seeded shift on, and what wraps round to the start.
     first, end = F.col("shift") * block_words, (F.col("shift") + F.col("extra")) * block_words
@@ -179,7 +197,9 @@ def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     plan = mix(docs.select(F.col(doc_id), F.col(text), F.col(source), F.xxhash64(text).alias("text_hash")), text, doc_id, source, keep=("text_hash",), **options)
     # Plain keys that cannot be null: the repeated rows and the join then share one shuffle of the texts.
     key = lambda i, h: {"id": F.coalesce(i, F.lit(0)), "void": i.isNull(), "hash": h}
-    plan = materialise(plan.filter("taken > 0"), "mix")
+    how = plan
+    plan = materialise(how.filter("taken > 0"), "mix")
+    release_own(how, docs)
     plan = plan.select(*[c.alias(n) for n, c in key(F.col("doc_id"), F.col("text_hash")).items()], "copies", "picks")
     rows = packed(docs, body=F.col(text), **key(F.col(doc_id), F.xxhash64(text)))
     rows = rows.dropDuplicates(["id", "void", "hash"]).join(plan, ["id", "void", "hash"])
