@@ -186,7 +186,8 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: in
     moves = plan(counts, window)
     table = np.array(moves, dtype=np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast(table)  # its rows grow with the window, not with the data
-    ranked = cut.join(base.drop("n"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
+    base = base.drop("n").hint("merge")  # it grows with the tasks: not to be broadcast
+    ranked = cut.join(base, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length, rank):
