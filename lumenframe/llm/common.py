@@ -76,8 +76,13 @@ def discard(df: DataFrame) -> None:
 def release(df: DataFrame) -> None:
     """Delete all tables made by :func:`materialise` that ``df`` reads: call it once the
     result of an operator is written or used up. Other inputs stay."""
-    paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for path in paths:
+    release_own(df)
+
+
+def release_own(df: DataFrame, *inputs: DataFrame) -> None:
+    """Like :func:`release`, but tables that ``inputs`` read stay."""
+    kept = {f.rsplit("/", 1)[0] for i in inputs for f in i.inputFiles()}
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()} - kept:
         if path.rsplit("/", 1)[1].startswith("lumenframe-"):
             _delete(df.sparkSession, path)
 
@@ -163,5 +168,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = materialise(jumped, "labels", labels)
         if not labels.filter("component <> old").limit(1).count():
             discard(both)
-            return labels.select("node", "component")
+            out = labels.select("node", "component")
+            out._lumenframe_path = labels._lumenframe_path
+            return out
     raise RuntimeError("components did not settle; raise max_rounds")

@@ -5,8 +5,10 @@ from the lengths of the gaps and matches before it. Values are then hashed and
 counted by distinct owners and repositories over the whole corpus: a value that
 many owners hold is a copied example, one that stays with a single owner looks live.
 
-Null or empty texts have no spans. Repeated rows each give a row. Extra columns
-are ignored by ``scan`` and kept by ``redact``.
+Null or empty texts have no spans. Documents without an owner count as one owner, those
+without a repository column value as one repository of their owner. Ties in start go by the
+order of the kinds. Repeated rows each give a row. Extra columns are ignored by ``scan`` and
+kept by ``redact``. Empty tables give no rows. Work is linear in a text, however many matches.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, packed, replace_spans, unpacked
+from .common import materialise, packed, release_own, replace_spans, unpacked
 
 # The base kinds, in the order in which they are listed.
 # name: (pattern, group holding the value, least length of that group)
@@ -100,8 +102,8 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repositor
     Overlapping spans are masked as one. Copied examples stay. Only documents with
     live spans meet the join's right side; the others pass unchanged.
     """
-    hits = scan(docs, text, owner, repository, (doc_id,), example_owners)
-    hits = hits.filter(F.exists("found", lambda s: s["live"])).dropDuplicates([doc_id, "text_hash"])
+    found = scan(docs, text, owner, repository, (doc_id,), example_owners)
+    hits = found.filter(F.exists("found", lambda s: s["live"])).dropDuplicates([doc_id, "text_hash"])
     live = hits.select(F.col(doc_id).alias("_id"), F.col("text_hash").alias("_hash"), F.explode("found").alias("s")).filter("s.live").select("_id", "_hash", "s.start", "s.stop")
     along = Window.partitionBy("_id", "_hash").orderBy("start", "stop")
     reached = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
@@ -110,6 +112,7 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repositor
     runs = live.groupBy("_id", "_hash", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     hits = runs.groupBy("_id", "_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_live"))
     hits = materialise(hits, "live")
+    release_own(found, docs)
     rows = packed(docs, id=F.col(doc_id), body=F.col(text), hash=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     rows = rows.join(hits, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
     new = F.when(F.col("_live").isNull(), F.col("body")).otherwise(replace_spans(F.col("body"), F.col("_live"), mask))

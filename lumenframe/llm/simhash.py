@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import components, discard, materialise, release
 
 SEED = 42
 
@@ -207,13 +207,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     one = F.struct("doc_id", "text_hash")
     least = lambda c: F.coalesce(F.min(F.when(c["doc_id"].isNotNull(), c)), F.min(c))
     classes = materialise(marks.groupBy("fp").agg(least(one).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
+    firsts = classes
     total = classes.agg(F.sum("copies")).first()[0] or 0
-    roots = components(links(classes.select("fp"), radius))
+    edges = links(classes.select("fp"), radius)
+    roots = components(edges)
     named = roots.join(classes.hint("merge"), roots.node == classes.fp).select("node", "component", "first")
     lowest = named.groupBy("component").agg(least(F.col("first")).alias("least"))
     found = named.join(lowest.hint("merge"), "component").select(F.col("node").alias("fp"), "least")
     classes = classes.join(found.hint("merge"), "fp", "left").select("fp", F.coalesce("least", "first").alias("first"), "copies")
-    classes = materialise(classes, "components")
+    classes = materialise(classes, "components", roots)
+    release(edges)
+    discard(firsts)
     many = F.broadcast(classes.filter(F.col("copies") * hot >= total).select("fp", "first"))  # at most `hot` rows
     rest = marks.join(many.select("fp"), "fp", "left_anti").join(classes.filter(F.col("copies") * hot < total).drop("copies").hint("merge"), "fp")
     both = marks.join(many, "fp").unionByName(rest)

@@ -221,6 +221,7 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
                 place, found_id, found_row, score, _ = search(pickle.loads(tree), row, np.frombuffer(x, dtype="<i8").reshape(-1, dim), bound, k)
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[place], row[place], found_id, found_row, score)], ["query_id", "query_row", "vec_id", "row", "score"])
 
+    all_asks = asks
     given = ("dim", "x", "vec_id", "row", "bound")
     schema = "query_id long, query_row long, vec_id long, row long, score long"
     first = blocks(asks.withColumn("bound", F.lit(int(NONE)).cast("long")))
@@ -247,7 +248,7 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
 
     pairs = materialise(some.select("dim", "home", "x", "bound", "block", "balls").mapInArrow(prune, "block long, shard long"), "pairs")
     rest = pairs.join(later, "block").join(trees, "shard").select(*given, "tree").mapInArrow(run, schema)
-    rest = materialise(rest, "rest", shards, later, pairs)
+    rest = materialise(rest, "rest", shards, later, pairs, all_asks)
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row")
     best = near.unionByName(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

@@ -211,13 +211,13 @@ def vector_blocks(members: DataFrame, block: int, width: str, seed: int = 17) ->
     """Blocks of about ``block`` vectors of one label, each on one side of a tree's planes."""
     reps = members.select(F.col("class").alias("vec_id"), "group", "v")
     sizes = materialise(reps.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    dealt = _dealt(reps, sizes, range(1), block, seed, width).select("vec_id", "code", "part")
-    rows = dealt.join(members.select(F.col("class").alias("vec_id"), "group", "v", "copies", "component"), "vec_id")
+    dealt = _dealt(reps, sizes, range(1), block, seed, width)
+    rows = dealt.select("vec_id", "code", "part").join(members.select(F.col("class").alias("vec_id"), "group", "v", "copies", "component"), "vec_id")
     lists = [F.collect_list(c).alias(n) for c, n in (("vec_id", "ids"), ("v", "vs"), ("copies", "ws"), ("component", "cs"))]
     blocks = rows.groupBy("group", "code", "part").agg(*lists).select("group", "ids", "vs", "ws", "cs")
     kind = members.schema["group"].dataType.simpleString()
     schema = f"group {kind}, ids array<long>, vs array<binary>, ws array<long>, cs array<long>, centre array<double>, reach double"
-    return materialise(blocks.mapInArrow(_with_reach(width), schema).withColumn("block", F.monotonically_increasing_id()), "blocks", sizes)
+    return materialise(blocks.mapInArrow(_with_reach(width), schema).withColumn("block", F.monotonically_increasing_id()), "blocks", sizes, dealt)
 
 
 def block_pairs(blocks: DataFrame, threshold: float, deal: int = 16) -> DataFrame:
@@ -337,26 +337,26 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         near = materialise(near.union(near.select("w", "u")).distinct(), "near")
         parts = components(near.select(F.col("u").alias("a"), F.col("w").alias("b")))
         member = classes.join(parts.withColumnRenamed("node", "class"), "class", "left").join(dense, "class", "left")
-        member = materialise(member.withColumn("component", F.coalesce("component", "class")).withColumn("dense", F.coalesce("dense", F.lit(False))), "members")
+        member = linked = materialise(member.withColumn("component", F.coalesce("component", "class")).withColumn("dense", F.coalesce("dense", F.lit(False))), "members")
         # Links of two dense vectors are counted by blocks, the others from the lists.
         exact = _dense_links(member.filter("dense"), threshold, block, width)
         ends = [member.select(F.col("class").alias(c), F.col("dense").alias(f"{c}_dense"), *([F.col("copies")] if c == "w" else [])) for c in ("u", "w")]
         listed = near.join(ends[0], "u").join(ends[1], "w").filter(~(F.col("u_dense") & F.col("w_dense"))).select(F.col("u").alias("class"), F.col("copies").alias("linked"))
         counted = listed.union(exact.filter("vec_id is not null").select("vec_id", "linked")).groupBy("class").agg(F.sum("linked").alias("linked"))
         counted = materialise(counted, "counts", near)
-        joined = components(exact.filter("a is not null").select("a", "b"))
+        dense_joined = components(exact.filter("a is not null").select("a", "b"))
         reached = audit(classes, counted, threshold, width)
         if reached >= min(recall, 0.99):
             break
     else:
         raise RuntimeError(f"only {reached:.3f} of the links of audited vectors were found; raise attempts, largest or recall")
-    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    joined = dense_joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
     member = member.join(joined, "component", "left").withColumn("whole", F.coalesce("whole", "component"))
     first = member.groupBy("whole").agg(F.min("vec_id").alias("component_id"))
     final = member.join(first, "whole").join(counted, "class", "left").select(
         F.col("group").alias("_label"), F.col("v").alias("_v"), "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
     )
-    final = materialise(final, "final", graph, classes, exact, counted)
+    final = materialise(final, "final", graph, classes, exact, counted, parts, dense_joined, linked)
     out = rows.join(final, (rows["label"] == final["_label"]) & (rows["v"] == final["_v"]), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -386,6 +386,14 @@ def test_secret_ownership_and_redaction(spark, empty):
     assert secrets.scan(empty).collect() == [] and secrets.redact(empty).collect() == []
 
 
+def test_secrets_in_a_very_long_text(spark):
+    text = " ".join(f"token=abcdefgh{i:06d} {'x' * (i % 50)}" for i in range(20_000))
+    df = spark.createDataFrame([(1, text, "en", None, 0), (2, "token=abcdefgh000007", "en", None, 0), (3, None, None, None, None)], DOCS)
+    out = {r["doc_id"]: r["found"] for r in secrets.scan(df).collect()}
+    assert [f"{s['kind']}:{s['start']}:{s['stop']}" for s in out[1] if s["kind"] in secrets.BASE] == brute_base(text)
+    assert out[2][0]["n_owners"] == 1 and out[2][0]["live"] and out[3] == []
+
+
 def test_secret_plan_is_native(spark, docs):
     plan = secrets.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -442,7 +450,7 @@ def test_mixed_documents_hold_what_the_plan_takes(spark, docs, empty):
 
 def test_shards_of_a_hot_source(spark):
     df = spark.range(600).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 37 as int)) as text", "'en' as lang", "if(id % 3 = 0, 'hot', 'b') as source", "0L as n_chars")
-    rows = mixing.mix(df, shard_words=500).collect()
+    rows = mixing.mix(df, shard_words=500, shard_group=4).collect()
     for s in ("hot", "b"):
         mine = [r for r in rows if r["source"] == s]
         assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 2 * (2 + mine[0]["source_size"] / 500)
@@ -457,6 +465,22 @@ def brute_seats(votes, seats):
     return out
 
 
+def test_apportionment_with_a_most():
+    rng = random.Random(6)
+    for _ in range(40):
+        votes = [rng.random() * 100 for _ in range(rng.randint(1, 8))]
+        most = [rng.randint(0, 9) for _ in votes]
+        seats = rng.randint(0, 40)
+        out = [0] * len(votes)
+        for _ in range(min(seats, sum(most))):
+            i = max((i for i in range(len(votes)) if out[i] < most[i]), key=lambda i: (votes[i] / (2 * out[i] + 1), -i))
+            out[i] += 1
+        got = mixing.apportion(votes, seats, most)
+        assert sum(got) == sum(out) and all(g <= m for g, m in zip(got, most))
+        if all(v * seats / sum(votes) < m for v, m in zip(votes, most)):
+            assert got == out
+
+
 def test_apportionment(spark):
     rng = random.Random(2)
     for case in range(12):

@@ -61,3 +61,18 @@ def test_small_inputs(spark, rows, tmp_path):
     out = pipeline.run(spark, str(tmp_path)).collect()
     assert bool(out) == any(r[1] for r in rows)
     assert all(WORD for _ in out)
+
+
+def test_written_tables_go(spark, docs, tmp_path):  # noqa: F811
+    from pathlib import Path
+
+    from lumenframe.llm import common
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    root = Path(common.checkpoint_root(spark))
+    before = set(root.iterdir())
+    out = pipeline.run(spark, str(tmp_path))
+    assert out.count() > 0
+    common.release(out)
+    assert not [p.name for p in set(root.iterdir()) - before if p.name.startswith("lumenframe-")]
+    assert docs.count() == spark.read.parquet(str(tmp_path / "documents.parquet")).count()
