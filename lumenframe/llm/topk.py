@@ -175,7 +175,7 @@ def _parts(rows: DataFrame, most, name: str, seed: int) -> DataFrame:
     return rows.join(cells, ["dim", "cell"]).withColumn(name, F.pmod(F.xxhash64(F.lit(seed), "row"), "parts"))
 
 
-def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, every: int = 100, scale: int = 1024, shard_rows: int = 16384, block: int = 8192, pivots: int = 256, shard_bytes: int = 8 << 20, leaf: int = 128, seed: int = 3) -> DataFrame:
+def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, every: int = 100, scale: int = 1024, shard_rows: int = 16384, block: int = 8192, pivots: int = 256, shard_bytes: int = 8 << 20, leaf: int = 512, seed: int = 3) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest scores of each query row.
 
     Queries are the rows whose id is divisible by ``every``. A task holds one block of
