@@ -8,8 +8,10 @@ step after the presence vector is linear, a batch is scored by one product of it
 presence rows with a (buckets x languages) matrix.
 
 Training rows are a bounded sample: at most ``per_language`` rows of each language,
-drawn by a seeded hash of the id among rows whose label is known, of at most the
-``max_languages`` most common languages. Texts are used
+drawn by a seeded hash of the id among rows whose label is known; languages are not
+limited. The sample is written and summed in executors, in whole numbers, so that no order
+of adding changes the model; the driver gets ``landmarks`` rows and the sums, which are
+``landmarks`` numbers a language. Texts are used
 whole. A text that is null or holds no letter is ``und`` with score 0. Ties go to the
 language that sorts first. Without any training row everything is ``und``.
 """
@@ -22,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import packed, unit_hash, unpacked
+from .common import discard, materialise, packed, release_own, unit_hash, unpacked
 
 BITS = 16
 ORDERS = (1, 2, 3, 4)
+STEP = 1 << 20  # features are summed as multiples of 1 / STEP
 
 
 def presence(text: str) -> np.ndarray:
@@ -46,91 +49,153 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
-def sample(docs: DataFrame, usable: Column, text: str, lang: str, doc_id: str, per_language: int, seed: int, max_languages: int = 200) -> DataFrame:
-    """At most ``per_language`` labelled rows of each language: (lang, bits).
+def sample(docs: DataFrame, usable: Column, text: str, lang: str, doc_id: str, per_language: int, seed: int) -> DataFrame:
+    """At most ``per_language`` labelled rows of each language: (lang, bits, draw, k).
 
     Counts come first, so that a hash threshold keeps little more than the sample
     before any text is read; ``bits`` is the packed presence vector, of fixed size.
+    The counts are a written table: whether they are broadcast is Spark's check of its size.
     """
     known = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = known.groupBy(F.col(lang).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.orderBy(F.col("_n").desc(), "_l").limit(max_languages)  # so the broadcast is bounded
+    counts = materialise(known.groupBy(F.col(lang).alias("_l")).agg(F.count(F.lit(1)).alias("_n")), "languages")
     draw = unit_hash(seed, F.col(doc_id))
-    near = known.select(doc_id, F.col(lang).alias("_lang"), F.col(text).alias("_text"), draw.alias("_draw")).join(F.broadcast(counts), F.col("_lang") == F.col("_l"))
+    near = known.select(doc_id, F.col(lang).alias("_lang"), F.col(text).alias("_text"), draw.alias("_draw")).join(counts, F.col("_lang") == F.col("_l"))
     near = near.filter(F.col("_draw") * F.col("_n") < 2.0 * per_language + 20)
     first = F.row_number().over(Window.partitionBy("_lang").orderBy("_draw", doc_id, F.xxhash64("_text")))
     near = near.withColumn("_k", first).filter(F.col("_k") <= per_language).select("_lang", "_text", "_draw", "_k")
 
+    def bits(body: str) -> bytes:
+        row = np.zeros(1 << BITS, dtype=np.uint8)
+        row[presence(body)] = 1
+        return np.packbits(row).tobytes()
+
     def pack(batches):
         for batch in batches:
-            rows = [np.zeros(1 << BITS, dtype=np.uint8) for _ in range(batch.num_rows)]
-            for row, body in zip(rows, batch.column(1).to_pylist()):
-                row[presence(body)] = 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([np.packbits(r).tobytes() for r in rows], pa.binary()), batch.column(2), batch.column(3)], ["lang", "bits", "draw", "k"]
-            )
+            made = pa.array([bits(body.as_py()) for body in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), made, batch.column(2), batch.column(3)], ["lang", "bits", "draw", "k"])
 
     return near.mapInArrow(pack, "lang string, bits binary, draw double, k int")
 
 
 class Model:
-    """Languages and the (buckets x languages) matrix that scores presence rows."""
+    """Languages and the matrices whose product, (buckets x languages), scores presence rows.
+
+    ``matrix`` is that product; with more languages than landmarks it stays (buckets x
+    landmarks) and ``last``, (landmarks x languages), is applied to what it gives."""
 
-    def __init__(self, languages: list[str], matrix: np.ndarray) -> None:
-        self.languages, self.matrix = languages, matrix
+    def __init__(self, languages: list[str], matrix: np.ndarray, last: np.ndarray | None = None) -> None:
+        self.languages, self.matrix, self.last = languages, matrix, last
 
     def scores(self, texts: list[str], cells: int = 1 << 22) -> np.ndarray:
         """One row of scores a text: batches of sparse presence rows times the matrix.
 
         A presence row is ones at its ids, so the product of a batch is the segmented sum
         of the matrix rows that its ids name; a batch holds about ``cells`` numbers."""
+        width = self.matrix.shape[1]
         out, held, size = [np.zeros((0, len(self.languages)))], [], 0
         for k, body in enumerate(texts):
             held.append(presence(body))
             size += len(held[-1])
-            if size * max(1, len(self.languages)) >= cells or k == len(texts) - 1:
+            if size * max(1, width) >= cells or len(held) * len(self.languages) >= cells or k == len(texts) - 1:
                 lengths = np.array([len(ids) for ids in held])
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 product = np.add.reduceat(self.matrix[np.concatenate(held)], starts, axis=0, dtype=np.float64)
-                out.append(product / np.sqrt(lengths)[:, None])
+                product /= np.sqrt(lengths)[:, None]
+                out.append(product if self.last is None else product @ self.last)
                 held, size = [], 0
         return np.concatenate(out)
 
 
+class Features:
+    """The Nyström feature map of landmark rows."""
+
+    def __init__(self, bits: list[bytes]) -> None:
+        self.marks = _rows(bits)
+        self.norms = np.sqrt(np.maximum(1, self.marks.sum(axis=1, dtype=np.float64)))
+        values, vectors = np.linalg.eigh(self.kernel(self.marks))
+        good = values > 1e-6 * values.max()
+        self.root = vectors[:, good] / np.sqrt(values[good])
+
+    def kernel(self, rows: np.ndarray) -> np.ndarray:
+        # Common n-grams are whole numbers below 2^24, exact in single precision.
+        return (rows @ self.marks.T) / np.sqrt(np.maximum(1, rows.sum(axis=1, dtype=np.float64)))[:, None] / self.norms
+
+    def totals(self, langs: list[str], bits: list[bytes], into: dict) -> dict:
+        """Adds rows to ``into``: their number and feature sums by language, and under None
+        the products of features; all are whole numbers."""
+        for lo in range(0, len(bits), 64):  # dense rows are large: a few at a time
+            phi = np.rint(self.kernel(_rows(bits[lo : lo + 64])) @ self.root * STEP)
+            into[None] = into.get(None, 0) + (phi.T @ phi).astype(np.int64).ravel()
+            for lang, row in zip(langs[lo : lo + 64], phi.astype(np.int64)):
+                into[lang] = into.get(lang, 0) + np.append(row, 1)
+        return into
+
+    def solve(self, totals: dict, ridge: float) -> Model:
+        """One ridge regression a language, of targets 1 for its rows and -1 for the others."""
+        languages = sorted(l for l in totals if l is not None)
+        width = self.root.shape[1]
+        own = np.array([totals[l] for l in languages], dtype=np.int64)
+        square = totals[None].reshape(width, width) / float(STEP) ** 2
+        sums = (2 * own[:, :-1] - own[:, :-1].sum(axis=0)).T / float(STEP)
+        weights = np.linalg.solve(square + ridge * own[:, -1].sum() / 100 * np.eye(width), sums)
+        scaled, last = self.marks.T / self.norms.astype(np.float32), self.root @ weights
+        if len(languages) > len(self.marks):
+            return Model(languages, np.ascontiguousarray(scaled), last)
+        return Model(languages, np.ascontiguousarray(scaled @ last.astype(np.float32)))
+
+
+def _rows(bits: list[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(len(bits), -1), axis=1).astype(np.float32)
+
+
+def _untrained() -> Model:
+    return Model([], np.zeros((1 << BITS, 0), dtype=np.float32))
+
+
 def fit(rows: list, landmarks: int = 192, ridge: float = 1e-2) -> Model:
     """Nyström features on ``landmarks`` rows, then ridge regression for each language."""
     rows = sorted(rows, key=lambda r: (r["k"], r["lang"], r["draw"], r["bits"]))
-    languages = sorted({r["lang"] for r in rows})
-    if not languages:
-        return Model([], np.zeros((1 << BITS, 0), dtype=np.float32))
-
-    def presence_rows(some: list) -> np.ndarray:
-        x = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in some), dtype=np.uint8).reshape(len(some), -1), axis=1).astype(np.float32)
-        x /= np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
-        return x
-
-    marks = presence_rows(rows[:landmarks])
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
-    good = values > 1e-6 * values.max()
-    root = vectors[:, good] / np.sqrt(values[good])
-    square, sums = np.zeros((root.shape[1], root.shape[1])), np.zeros((root.shape[1], len(languages)))
-    for lo in range(0, len(rows), 64):  # dense rows are large: a few at a time
-        some = rows[lo : lo + 64]
-        phi = (presence_rows(some) @ marks.T).astype(np.float64) @ root
-        square += phi.T @ phi
-        sums += phi.T @ np.array([[1.0 if r["lang"] == l else -1.0 for l in languages] for r in some])
-    weights = np.linalg.solve(square + ridge * len(rows) / 100 * np.eye(len(square)), sums)
-    return Model(languages, np.ascontiguousarray(marks.T @ (root @ weights).astype(np.float32)))
+    if not rows:
+        return _untrained()
+    features = Features([bytes(r["bits"]) for r in rows[:landmarks]])
+    return features.solve(features.totals([r["lang"] for r in rows], [bytes(r["bits"]) for r in rows], {}), ridge)
+
+
+def fit_table(rows: DataFrame, landmarks: int = 192, ridge: float = 1e-2) -> Model:
+    """:func:`fit` for a written sample: rows are summed in executors."""
+    first = rows.orderBy("k", "lang", "draw", "bits").limit(landmarks).collect()  # 8 KB a row
+    if not first:
+        return _untrained()
+    marks = [bytes(r["bits"]) for r in first]
+    shared = rows.sparkSession.sparkContext.broadcast(marks)
+
+    def add(batches):
+        features, totals = Features(shared.value), {}
+        for batch in batches:
+            totals = features.totals(batch.column(0).to_pylist(), batch.column(1).to_pylist(), totals)
+        for lang, sums in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(sums), pa.string()), pa.array(np.arange(len(sums))), pa.array(sums)], ["lang", "cell", "total"])
+
+    cells = rows.select("lang", "bits").mapInArrow(add, "lang string, cell long, total long").groupBy("lang", "cell").agg(F.sum("total").alias("total"))
+    by_lang: dict = {}
+    for r in cells.orderBy("cell").collect():  # about `landmarks` numbers a language
+        by_lang.setdefault(r["lang"], []).append(r["total"])
+    return Features(marks).solve({l: np.array(v, dtype=np.int64) for l, v in by_lang.items()}, ridge)
 
 
 def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 250, seed: int = 5, **options) -> Model:
-    return fit(sample(docs, usable, text, lang, doc_id, per_language, seed).collect(), **options)  # per_language rows of 8 KB each
+    drawn = sample(docs, usable, text, lang, doc_id, per_language, seed)
+    rows = materialise(drawn, "language_sample")
+    release_own(drawn, docs)
+    model = fit_table(rows, **options)
+    discard(rows)
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "lang_") -> DataFrame:
     """``docs`` with ``<prefix>pred`` and ``<prefix>score`` (0 to 1) appended, in place of any
     columns of these names."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.matrix))  # 2^16 rows x languages
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.matrix, model.last))  # 2^16 rows x languages, or landmarks if fewer
 
     @F.pandas_udf("pred string, score double")
     def label(bodies):

@@ -529,6 +529,25 @@ def test_batched_scores_are_the_kernel_products():
     assert model.languages[int(model.scores([text]).argmax())] == "de"
 
 
+def test_sums_in_executors_give_the_local_model(spark):
+    """More languages than landmarks, a language of one row, and rows in any order."""
+    langs = [f"l{i:02d}" for i in range(20)]
+    texts = [(i, make_text(random.Random(i), 30, ("de", "en")[i % 2]) + f" {langs[i % 20] * 8}", langs[i % 20]) for i in range(200)] + [(900, "zzyzx qqq", "one")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    rows = langid.sample(docs, F.lit(True), "text", "lang", "doc_id", 8, 5)
+    local = langid.fit(rows.collect(), landmarks=12)
+    bodies = [t for _, t, _ in texts]
+    for parts in (1, 7):
+        model = langid.train(docs.repartition(parts), F.lit(True), per_language=8, landmarks=12)
+        assert model.languages == local.languages == [*langs, "one"]
+        assert np.allclose(model.scores(bodies), local.scores(bodies), atol=1e-9)
+    folded = local.matrix.astype(np.float64) @ local.last
+    x = np.zeros(1 << langid.BITS)
+    x[langid.presence(bodies[3])] = 1
+    assert np.allclose(local.scores(bodies[3:4], cells=1)[0], x / np.sqrt(x.sum()) @ folded, atol=1e-6)
+    assert {r["lang_pred"] for r in langid.predict(docs, local).collect()} <= set(local.languages)
+
+
 # -- 6 packing -------------------------------------------------------------
 def brute_bfd(lengths, window):
     bins = []
