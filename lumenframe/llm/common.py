@@ -145,7 +145,19 @@ def unit_hash(seed: int, *cols: Column) -> Column:
     return bits.cast("double") / F.lit(float(1 << 53))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int, hot: int = 1000) -> DataFrame:
+    """``rows`` joined with the one row that ``groups`` has for each ``key``; its column ``n``
+    says how many rows that is, and ``total`` how many there are in all.
+
+    Keys of one row in ``hot`` or more are ``hot`` at most; they are broadcast, so that no task
+    gets all rows of a key. The others meet by a merge join."""
+    many = F.broadcast(groups.filter(F.col("n") * hot >= total).drop("n"))
+    few = groups.filter(F.col("n") * hot < total).drop("n").hint("merge")
+    rest = rows.join(many.select(key), key, "left_anti").join(few, key)
+    return rows.join(many, key).unionByName(rest)
+
+
+def components(edges: DataFrame, max_rounds: int = 60, hot: int = 1000) -> DataFrame:
     """Smallest reachable id of every node in ``edges`` (columns a, b: long).
 
     Minimum-label rounds with pointer jumping: each round aggregates the labels
@@ -159,13 +171,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     # Both sides of these joins grow with the edges: no side is broadcast.
     first = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     labels = materialise(first.withColumn("old", F.col("node")), "labels")
+    total = labels.count()
     for _ in range(max_rounds):
         seen = both.join(labels.hint("merge"), both.b == labels.node).select(both.a.alias("node"), "component", F.lit(None).cast("long").alias("old"))
         own = labels.select("node", "component", F.col("component").alias("old"))
         best = seen.union(own).groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old"))
-        up = best.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        jumped = best.join(up.hint("merge"), "component", "left").select("node", F.least(F.coalesce("top", "component"), "component").alias("component"), "old")
-        labels = materialise(jumped, "labels", labels)
+        best = materialise(best, "best", labels)
+        # Every label is a node. One label may be that of most nodes.
+        names = best.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        up = best.select(F.col("node").alias("component"), F.col("component").alias("top")).hint("merge")
+        jumped = join_groups(best, names.join(up, "component"), "component", total, hot)
+        labels = materialise(jumped.select("node", F.least("top", "component").alias("component"), "old"), "labels", best)
         if not labels.filter("component <> old").limit(1).count():
             discard(both)
             out = labels.select("node", "component")

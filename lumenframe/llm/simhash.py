@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialise, release
+from .common import components, discard, join_groups, materialise, release
 
 SEED = 42
 
@@ -201,24 +201,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     doc_id) and first_hash (the text hash of that document; the smallest, if ids repeat).
 
     Null ids come last: a component has a null id only if all its documents do.
-    Fingerprints that one in ``hot`` documents or more hold are ``hot`` at most; they meet their
-    documents by broadcast, so that no task gets all copies of a text."""
+    Fingerprints that one in ``hot`` documents or more hold, and components of one fingerprint in
+    ``hot`` or more, are ``hot`` at most; they meet their rows by broadcast, so that no task gets
+    all copies of a text or all of a component."""
     marks = materialise(fingerprints(docs, text, doc_id), "fingerprints")
     one = F.struct("doc_id", "text_hash")
     least = lambda c: F.coalesce(F.min(F.when(c["doc_id"].isNotNull(), c)), F.min(c))
-    classes = materialise(marks.groupBy("fp").agg(least(one).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = materialise(marks.groupBy("fp").agg(least(one).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     firsts = classes
-    total = classes.agg(F.sum("copies")).first()[0] or 0
     edges = links(classes.select("fp"), radius)
     roots = components(edges)
     named = roots.join(classes.hint("merge"), roots.node == classes.fp).select("node", "component", "first")
-    lowest = named.groupBy("component").agg(least(F.col("first")).alias("least"))
-    found = named.join(lowest.hint("merge"), "component").select(F.col("node").alias("fp"), "least")
-    classes = classes.join(found.hint("merge"), "fp", "left").select("fp", F.coalesce("least", "first").alias("first"), "copies")
-    classes = materialise(classes, "components", roots)
+    named = materialise(named, "named", roots)
+    lowest = named.groupBy("component").agg(least(F.col("first")).alias("least"), F.count(F.lit(1)).alias("n"))
+    found = join_groups(named, lowest, "component", named.count(), hot).select(F.col("node").alias("fp"), "least")
+    classes = classes.join(found.hint("merge"), "fp", "left").select("fp", F.coalesce("least", "first").alias("first"), "n")
+    classes = materialise(classes, "components", named)
     release(edges)
     discard(firsts)
-    many = F.broadcast(classes.filter(F.col("copies") * hot >= total).select("fp", "first"))  # at most `hot` rows
-    rest = marks.join(many.select("fp"), "fp", "left_anti").join(classes.filter(F.col("copies") * hot < total).drop("copies").hint("merge"), "fp")
-    both = marks.join(many, "fp").unionByName(rest)
+    both = join_groups(marks, classes, "fp", marks.count(), hot)
     return both.select("doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("first_hash"))

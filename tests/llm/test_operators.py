@@ -79,6 +79,19 @@ def test_replaced_spans(spark, block):
         assert r["out"] == want + r["t"][at:]
 
 
+@pytest.mark.parametrize("hot", [1, 3, 1000])
+def test_components_of_one_large_group_and_many_small(spark, hot):
+    rng = random.Random(4)
+    pairs = [(i, rng.randrange(i)) for i in range(1, 80)] + [(i, i + 1) for i in range(100, 160, 3)] + [(200, 200), (-5, -9)]
+    rng.shuffle(pairs)
+    low = {n: n for p in pairs for n in p}
+    for _ in low:
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+    found = common.components(spark.createDataFrame(pairs, "a long, b long"), hot=hot)
+    assert {r["node"]: r["component"] for r in found.collect()} == low
+
+
 def test_written_tables(spark):
     df = common.materialise(spark.range(5), "t")
     assert df.count() == 5
