@@ -645,6 +645,19 @@ def test_rank_file_gives_the_tokenizer_ids():
         assert coder.encode(x) == t.encode(x, add_special_tokens=False).ids, x
 
 
+@pytest.mark.parametrize("context", ["a%sb1", " %s\n x"])
+def test_rank_file_gives_the_tokenizer_ids_of_every_code_point(context):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    coder = packing.Coder(added_tokens=True)
+    texts = [context % chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for lo in range(0, len(texts), 1 << 16):
+        some = texts[lo : lo + (1 << 16)]
+        assert [coder.encode(x) for x in some] == [e.ids for e in t.encode_batch(some, add_special_tokens=False)]
+
+
 def test_packed_ids_hold_added_tokens(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
