@@ -20,12 +20,14 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised; learns from labelled rows.
 
-    Rejected are texts that are null or hold no letter (``und``). The least score is no test
-    of distance: with few languages the best score of any text lies above it, so gibberish
-    and languages without labelled rows pass."""
-    model = langid.train(docs, F.lit(True))
+    Rejected are texts that are null or hold no letter (``und``), and foreign ones: gibberish
+    and languages without labelled rows, which lie below the fences that the labelled rows of
+    each language set. Very short texts, and what looks most like a language of few labelled
+    rows, are hardly or not fenced; they stay. Rows without a label get the recognised language as ``lang``."""
+    model = langid.train(docs, F.lit(True), fenced=True)
     out = langid.predict(docs, model, prefix="_lang_")
-    return out.filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= 0.05)).select(*docs.columns)
+    kept = out.filter((F.col("_lang_pred") != "und") & ~F.col("_lang_foreign"))
+    return kept.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -561,6 +561,26 @@ def test_sums_in_executors_give_the_local_model(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, local).collect()} <= set(local.languages)
 
 
+@pytest.mark.parametrize("landmarks", [12, 192])
+def test_language_fences(spark, docs, landmarks):
+    """With fewer and more landmarks than languages; too few rows or only copies set no fence."""
+    rng, rows = random.Random(6), []
+    parts = {f"l{i:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(8)] for i in range(14)}
+    for i, lang in enumerate([*parts] * 24):
+        rows.append((i, " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(20, 90))), lang, "s", 0))
+    rows += [(900 + i, make_text(rng, 60), "few", "s", 0) for i in range(19)] + [(1000 + i, rows[0][1] + " x" * i, "same", "s", 0) for i in range(30)]
+    df = spark.createDataFrame(rows, DOCS)
+    model = langid.train(df, F.lit(True), landmarks=landmarks, fenced=True)
+    again = langid.train(df.repartition(7), F.lit(True), landmarks=landmarks, fenced=True)
+    assert np.array_equal(model.fences, again.fences) and (model.last is None) == (landmarks == 192)
+    assert [l for l, f in zip(model.languages, model.fences) if not np.isfinite(f[1])] == ["few", "same"]
+    out = langid.predict(df, model)
+    assert out.columns == [*df.columns, "lang_pred", "lang_score", "lang_foreign"] and not out.filter("lang_foreign").count()
+    plain = langid.train(df, F.lit(True), landmarks=landmarks)
+    same = lambda d: sorted((r["doc_id"], r["lang_pred"], round(r["lang_score"], 4)) for r in d.collect())
+    assert same(langid.predict(df, plain)) == same(out)
+
+
 # -- 6 packing -------------------------------------------------------------
 def brute_bfd(lengths, window):
     bins = []

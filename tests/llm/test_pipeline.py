@@ -32,6 +32,53 @@ def test_language_stage_keeps_clean_documents(spark, docs):  # noqa: F811
     assert set(range(160)) <= kept
 
 
+def spanish(rng, n):
+    return " ".join("".join(rng.choice("ción os as ez ga jo ñ ue".split()) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+
+def foreign_texts(rng):
+    """Gibberish of many lengths (one longer than any labelled row), invented languages."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    other = lambda n, parts: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    out = [noise(n) for n in (40, 60, 100, 200, 500, 9000)]
+    return out + [other(n, p.split()) for n in (60, 120, 400) for p in ("ova pri ako sku dze myl tak ju", "пре ова ние сто лия ко", "kuwa mba nji pia zo lek hu")]
+
+
+def test_language_stage_rejects_foreign_texts(spark, docs):  # noqa: F811
+    rng = random.Random(8)
+    foreign = [(1000 + i, t, None, "s1", 0) for i, t in enumerate(foreign_texts(rng))]
+    clean = [(2000 + i, make_text(rng, 3 + 8 * i, lang), None, "s1", 0) for i, lang in enumerate(["en", "de", "fr"] * 10)]
+    clean += [(2100, make_text(rng, 20000, "fr"), None, "s1", 0), (2101, " ".join(make_text(rng, 60, l) for l in ("fr", "de", "en")), None, "s1", 0)]
+    out = {r["doc_id"]: r for r in pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(foreign + clean, DOCS)), "").collect()}
+    assert not [i for i in out if i is not None and 1000 <= i < 2000]
+    assert {r[0] for r in clean} | set(range(160)) <= set(out)
+    assert [out[2000 + i]["lang"] for i in range(3, 30)] == ["en", "de", "fr"] * 9
+    labels = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert all(out[i]["lang"] == labels[i] for i in range(160))
+
+
+@pytest.mark.parametrize("copies, others", [(300, 5), (3000, 40)])
+def test_language_stage_keeps_texts_beside_many_copies(spark, docs, copies, others):  # noqa: F811
+    """Copies of one text, a word apart, are most rows of their language."""
+    rng = random.Random(9)
+    one = spanish(rng, 150)
+    rows = [(1000 + i, f"{one} {spanish(rng, 1)}", "es", "s", 0) for i in range(copies)]
+    rows += [(9000 + i, spanish(rng, 20 + 5 * i), "es", "s", 0) for i in range(others)]
+    out = pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(rows, DOCS)), "")
+    kept = {r["doc_id"] for r in out.select("doc_id").collect()}
+    assert {r[0] for r in rows} | set(range(160)) <= kept
+
+
+def test_wrong_labels_do_not_lower_the_fence(spark):
+    rng = random.Random(10)
+    rows = [(i, make_text(rng, 20 + i % 150, "de" if i % 4 == 0 else "en"), "de" if i % 4 == 0 else "en", "s", 0) for i in range(240)]
+    rows += [(900 + i, t, "en", "s", 0) for i, t in enumerate(foreign_texts(rng)[:6])]
+    foreign = [(1000 + i, t, None, "s1", 0) for i, t in enumerate(foreign_texts(rng)[6:])]
+    kept = {r["doc_id"] for r in pipeline.language_id(spark, spark.createDataFrame(rows + foreign, DOCS), "").select("doc_id").collect()}
+    assert kept.isdisjoint(range(1000, 2000)) and set(range(240)) <= kept
+
+
 def test_one_document_of_each_group_stays(spark, docs):  # noqa: F811
     some = docs.filter("doc_id is not null")
     comp = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(some).collect()}
