@@ -58,6 +58,14 @@ def test_language_stage_rejects_foreign_texts(spark, docs):  # noqa: F811
     assert all(out[i]["lang"] == labels[i] for i in range(160))
 
 
+def test_foreign_texts_are_not_packed(spark, docs, tmp_path):  # noqa: F811
+    rng = random.Random(11)
+    foreign = [(1000 + i, t, None, "s1", 0) for i, t in enumerate(foreign_texts(rng))]
+    docs.unionByName(spark.createDataFrame([*foreign, (2000, make_text(rng, 60, "de"), None, "s1", 0)], DOCS)).write.parquet(str(tmp_path / "documents.parquet"))
+    packed = {r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
+    assert packed.isdisjoint(range(1000, 2000)) and 404 in packed
+
+
 @pytest.mark.parametrize("copies, others", [(300, 5), (3000, 40)])
 def test_language_stage_keeps_texts_beside_many_copies(spark, docs, copies, others):  # noqa: F811
     """Copies of one text, a word apart, are most rows of their language."""
