@@ -181,8 +181,9 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: in
     cut = materialise(pieces(docs, text, doc_id, window, end_id, rank_file, tokenizer_file).withColumn("ids_crc32", F.crc32("ids")), "pieces")
     by_part = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
-    base = materialise(by_part.withColumn("before", before), "ranks")
-    counts = {r["length"]: r["n"] for r in base.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `window` rows
+    # Cheap to make again from two narrow columns: written, it would be a tiny file of each task.
+    base = by_part.withColumn("before", before)
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `window` rows
     moves = plan(counts, window)
     table = np.array(moves, dtype=np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast(table)  # its rows grow with the window, not with the data
