@@ -130,7 +130,8 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(source).cast("string").alias("source"), size.alias("size"))
-    rows = materialise(rows, "sizes")
+    # Sizes are hundredths of the texts: moved together first, they are not a tiny file of each task.
+    rows = materialise(rows.hint("rebalance"), "sizes")
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     blocks = goal.agg(F.sum("target")).first()[0] or 0.0
     made = goal

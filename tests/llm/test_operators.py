@@ -446,6 +446,18 @@ def test_mix(spark, docs, empty):
     assert mixing.mix(empty).collect() == []
 
 
+def test_mix_writes_no_tiny_file_of_each_task(spark, docs):
+    from pathlib import Path
+
+    root, key = Path(common.checkpoint_root(spark)), lambda r: repr(r.asDict())
+    before = set(root.iterdir())
+    mixed = mixing.mix(docs.repartition(24))
+    sizes = [p for p in set(root.iterdir()) - before if p.name.startswith("lumenframe-sizes-")]
+    assert [1 <= len(list(p.glob("part-*.parquet"))) <= 4 for p in sizes] == [True]
+    assert sorted(mixed.collect(), key=key) == sorted(mixing.mix(docs).collect(), key=key)
+    common.release(mixed)
+
+
 def test_mixed_documents_hold_what_the_plan_takes(spark, docs, empty):
     plan = {}
     for r in mixing.mix(docs).collect():
